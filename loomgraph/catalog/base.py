@@ -51,7 +51,8 @@ def full_sql(body: str) -> str:
     ctes = ",\n".join(
         f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({VIEWS[n]})" for n in VIEWS if n in needed
     )
-    return f"WITH RECURSIVE {ctes}\n{body}"
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
+    return f"WITH RECURSIVE {ctes},\n{body[own.end():]}" if own else f"WITH RECURSIVE {ctes}\n{body}"
 
 
 def bars(*words: str) -> str:

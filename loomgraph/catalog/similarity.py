@@ -150,7 +150,7 @@ def _(t):
 view("translation_v", """
   SELECT context, item, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, item) AS rank FROM (
-      SELECT c.context, i.item, -round(list_distance(list_transform(c.vec, x -> x - 0.1), i.vec), 6) AS score
+      SELECT c.context, i.item, -round(list_distance(list_transform(c.vec, lambda x: x - 0.1), i.vec), 6) AS score
       FROM vectors_v c, item_vectors_v i)) WHERE rank <= 30""")
 
 
@@ -165,10 +165,10 @@ def _(t):
 
 @entry("k9_rotation_complex_trilinear", """
   SELECT context, item,
-    round(list_sum(list_transform(list_zip(iv, cv), z -> 0.5 * z[1] * z[2])), 6) AS trilinear,
+    round(list_sum(list_transform(list_zip(iv, cv), lambda z: 0.5 * z[1] * z[2])), 6) AS trilinear,
     round(0.6 * list_dot_product(iv, cv) + 0.8 * (list_dot_product(iv[1:32], cv[33:64]) - list_dot_product(iv[33:64], cv[1:32])), 6) AS complex,
     round(-list_sum(list_transform(list_zip(iv[1:32], iv[33:64], cv[1:32], cv[33:64]),
-      z -> sqrt(pow(z[1] * cos(0.3) - z[2] * sin(0.3) - z[3], 2) + pow(z[1] * sin(0.3) + z[2] * cos(0.3) - z[4], 2) + 1e-8))), 6) AS rotation
+      lambda z: sqrt(pow(z[1] * cos(0.3) - z[2] * sin(0.3) - z[3], 2) + pow(z[1] * sin(0.3) + z[2] * cos(0.3) - z[4], 2) + 1e-8))), 6) AS rotation
   FROM truth_vec_v""")
 def _(t):
     def const(*values_counts):
@@ -185,7 +185,7 @@ def _(t):
 
 
 view("hybrid_v", f"""
-  SELECT n.context, n.neighbour, round(0.3 * round(j.j, 6) + 0.7 * n.similarity, 6) AS similarity
+  SELECT n.context, n.neighbour, round(0.3 * round(j.j, 6) + 0.7 * n.similarity, 9) AS similarity
   FROM near_v n JOIN {_jac('context_features_v')} j USING (context, neighbour)""")
 
 
@@ -214,7 +214,7 @@ view("draws_v", """
 
 
 @entry("k12_subsample_votes", """
-  SELECT context, item, round(sum(similarity) / 10, 6) AS score FROM (
+  SELECT context, item, round(sum(similarity) / 10, 9) AS score FROM (
     SELECT draw, context, neighbour, similarity, row_number() OVER (PARTITION BY draw, context ORDER BY similarity DESC, neighbour) AS place
     FROM pairs_v p JOIN draws_v d ON d.context = p.neighbour AND p.context IS NOT NULL) n(draw, context, neighbour, similarity, place)
   JOIN truth_v t ON t.context = n.neighbour WHERE place <= 20 GROUP BY n.context, t.item""".replace(
@@ -234,8 +234,8 @@ view("multi_k_v", """
 
 
 @entry("k13_multi_k_average_and_borda", """
-  SELECT context, item, round(sum(CASE WHEN best > 0 THEN score / best ELSE 0 END) / 4, 6) AS mean_score,
-         round(sum(CASE WHEN r <= 30 THEN (30 - r) / 30 ELSE 0 END), 6) AS borda FROM (
+  SELECT context, item, round(sum(CASE WHEN best > 0 THEN score / best ELSE 0 END) / 4, 9) AS mean_score,
+         round(sum(CASE WHEN r <= 30 THEN (30 - r) / 30 ELSE 0 END), 9) AS borda FROM (
     SELECT *, max(score) OVER (PARTITION BY context, k) AS best,
            row_number() OVER (PARTITION BY context, k ORDER BY score DESC, item) AS r FROM multi_k_v) GROUP BY 1, 2""")
 def _(t):
@@ -350,14 +350,14 @@ view("similarity_mean_v", """
 
 @entry("k22_similarity_transfer_merged", """
   SELECT coalesce(a.context, b.context) AS context, coalesce(a.item, b.item) AS item,
-    round(CASE WHEN a.score IS NULL THEN b.score WHEN b.score IS NULL THEN a.score ELSE (a.score + b.score) / 2 END, 6) AS score
+    round(CASE WHEN a.score IS NULL THEN b.score WHEN b.score IS NULL THEN a.score ELSE (a.score + b.score) / 2 END, 9) AS score
   FROM similarity_mean_v a FULL JOIN top_v b ON a.context = b.context AND a.item = b.item""")
 def _(t):
     return S.merge_average(S.similarity_mean(set_near(t), t.truth()), top_items(t))
 
 
 @entry("k23_cross_category_boost", """
-  SELECT v.context, v.item, round(v.score * CASE WHEN d.n >= 4 THEN 1.5 ELSE 1 END, 6) AS score FROM vote_v v
+  SELECT v.context, v.item, round(v.score * CASE WHEN d.n >= 4 THEN 1.5 ELSE 1 END, 9) AS score FROM vote_v v
   LEFT JOIN (SELECT item, count(DISTINCT category) AS n FROM truth_v JOIN contexts_v USING (context) GROUP BY 1) d USING (item)""")
 def _(t):
     return S.cross_category_boost(votes(t), t.truth(), t.categories(), 4, 1.5)
@@ -377,7 +377,7 @@ def _(t):
 @entry("k25_class_boost", """
   WITH pool AS (SELECT v.context, i.class1, count(*) AS n FROM vote_v v JOIN items_v i USING (item) GROUP BY 1, 2),
        dom AS (SELECT context, class1 FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, class1) AS r FROM pool) WHERE r <= 3)
-  SELECT v.context, v.item, round(v.score * CASE WHEN d.class1 IS NULL THEN 1 ELSE 1.5 END, 6) AS score
+  SELECT v.context, v.item, round(v.score * CASE WHEN d.class1 IS NULL THEN 1 ELSE 1.5 END, 9) AS score
   FROM vote_v v JOIN items_v i USING (item) LEFT JOIN dom d ON d.context = v.context AND d.class1 = i.class1""")
 def _(t):
     return S.dominant_class_boost(votes(t), t.items().select("item", F.col("class1").alias("cls")), 3, 0.5)

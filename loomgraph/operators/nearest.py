@@ -65,6 +65,11 @@ def _compare(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return -np.sqrt(np.maximum(sq, 0.0))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column ids, so that a table can meet itself."""
+    return df.toDF(*df.columns)
+
+
 def _blocks(n, rows: int, spread: int):
     """Number of blocks for n rows: bounded block size, and some spread for small tables."""
     return F.greatest(F.ceil(n / rows), F.least(F.lit(spread), F.ceil(n / 64)), F.lit(1)).cast("int")
@@ -132,7 +137,7 @@ def nearest_vectors(
     by = list(by)
     extra = ["category"] if boosted else []
     queries = queries.select("id", "vec", *by, *extra)
-    corpus = corpus.select("id", "vec", *by, *extra)
+    corpus = _fresh(corpus.select("id", "vec", *by, *extra))
     left, right = _placed(queries, corpus, by, block_rows)
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
     out = ", ".join([f"{b} {types[b]}" for b in by] + [f"q_id {types['id']}", f"c_id {types['id']}", "score double"])
@@ -201,7 +206,7 @@ def nearest_sets(
     """
     by = list(by)
     queries = queries.select("id", "feature", *by)
-    corpus = corpus.select("id", "feature", *by)
+    corpus = _fresh(corpus.select("id", "feature", *by))
     left, right = _placed(queries, corpus, by, block_rows)
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
     c_type = {f.name: f.dataType.simpleString() for f in corpus.schema}["id"]

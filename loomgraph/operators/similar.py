@@ -49,7 +49,7 @@ def vote_any(similarities: DataFrame, truth: DataFrame, k: int, exclude_self: bo
     return vote(top_n(s, ["context"], "similarity", "neighbour", k, "place"), truth)
 
 
-def hybrid_similarity(first: DataFrame, second: DataFrame, alpha: float, digits: int = 6) -> DataFrame:
+def hybrid_similarity(first: DataFrame, second: DataFrame, alpha: float, digits: int = 9) -> DataFrame:
     """alpha*s1 + (1-alpha)*s2 over the pairs of ``second``; s1 = 0 where missing."""
     a = first.select("context", "neighbour", F.col("similarity").alias("s1"))
     b = second.select("context", "neighbour", F.col("similarity").alias("s2"))
@@ -120,7 +120,7 @@ def translation_top(contexts: DataFrame, items: DataFrame, relation: Sequence[fl
 
 
 def subsample_votes(
-    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42, digits: int = 6,
+    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42, digits: int = 9,
 ) -> DataFrame:
     """Votes averaged over draws of the training contexts; an absent item counts 0."""
     train = training_vectors(vectors, truth).select("context", "vec")
@@ -150,8 +150,8 @@ def multi_k_scores(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] =
         "rank", F.row_number().over(w.orderBy(F.col("score").desc(), "item"))
     )
     return placed.groupBy("context", "item").agg(
-        F.round(F.sum(F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)) / len(ks), 6).alias("mean_score"),
-        F.round(F.sum(F.when(F.col("rank") <= top, (top - F.col("rank")) / top).otherwise(0.0)), 6).alias("borda"),
+        F.round(F.sum(F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0)) / len(ks), 9).alias("mean_score"),
+        F.round(F.sum(F.when(F.col("rank") <= top, (top - F.col("rank")) / top).otherwise(0.0)), 9).alias("borda"),
     )
 
 
@@ -232,7 +232,7 @@ def merge_average(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["context", "item"], "full_outer").select(
         "context", "item",
         F.round(F.when(F.col("s1").isNull(), F.col("s2")).when(F.col("s2").isNull(), F.col("s1"))
-                .otherwise((F.col("s1") + F.col("s2")) / 2), 6).alias("score"),
+                .otherwise((F.col("s1") + F.col("s2")) / 2), 9).alias("score"),
     )
 
 
@@ -311,7 +311,7 @@ def cross_category_boost(votes: DataFrame, truth: DataFrame, categories: DataFra
     """Items true in several categories get their score multiplied."""
     width = truth.join(categories, "context").groupBy("item").agg(F.countDistinct("category").alias("__n"))
     boosted = F.when(F.col("__n") >= at_least, F.col("score") * factor).otherwise(F.col("score"))
-    return votes.join(width, "item", "left").select("context", "item", F.round(boosted, 6).alias("score"))
+    return votes.join(width, "item", "left").select("context", "item", F.round(boosted, 9).alias("score"))
 
 
 def dominant_class_boost(votes: DataFrame, classes: DataFrame, top: int = 3, boost: float = 0.5) -> DataFrame:
@@ -321,7 +321,7 @@ def dominant_class_boost(votes: DataFrame, classes: DataFrame, top: int = 3, boo
     dominant = top_n(pool, ["context"], "n", "cls", top, "r").select("context", "cls", F.lit(1).alias("__d"))
     factor = F.when(F.col("__d").isNull(), 1.0).otherwise(1.0 + boost)
     return labelled.join(dominant, ["context", "cls"], "left").select(
-        "context", "item", F.round(F.col("score") * factor, 6).alias("score")
+        "context", "item", F.round(F.col("score") * factor, 9).alias("score")
     )
 
 
