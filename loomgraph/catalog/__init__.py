@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("similarity",)
+MODULES = ("similarity", "graph", "ingest")
 
 
 def load() -> None:

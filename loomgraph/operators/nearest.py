@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8192
 TILE_CELLS = 4_000_000
 VOCABULARY_CHUNK = 4096
+COVERAGE_UNIT = 2.0**24  # one shared feature outweighs any set size
 
 
 def _best_in_tile(scores: np.ndarray, k: int, floor: float | None):
@@ -201,8 +202,8 @@ def nearest_sets(
     """The k corpus sets that overlap most with every query set.
 
     Both sides are long tables ``(id, feature)`` with distinct rows.  ``metric`` is
-    ``overlap`` (number of shared features) or ``jaccard``; pairs that share nothing are
-    never reported.
+    ``overlap`` (number of shared features), ``jaccard`` or ``coverage`` (shared features, then
+    the smaller corpus set); pairs that share nothing are never reported.
     """
     by = list(by)
     queries = queries.select("id", "feature", *by)
@@ -249,6 +250,8 @@ def nearest_sets(
             scores = both
             if metric == "jaccard":
                 scores = both / (q_size[lo : lo + n, None] + c_size[None, :] - both)
+            elif metric == "coverage":
+                scores = both * COVERAGE_UNIT - c_size[None, :]
             scores = np.where(both > 0, np.round(scores, digits), -np.inf)
             if exclude_self:
                 scores[q_ids[lo : lo + n, None] == c_ids[None, :]] = -np.inf
