@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("similarity", "graph", "ingest")
+MODULES = ("similarity", "graph", "ingest", "naming", "tiering")
 
 
 def load() -> None:
