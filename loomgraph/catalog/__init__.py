@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("similarity", "graph", "ingest", "naming", "tiering")
+MODULES = ("similarity", "graph", "ingest", "naming", "tiering", "statistics")
 
 
 def load() -> None:

@@ -6,7 +6,8 @@ from loomgraph.catalog.base import entry, view
 from loomgraph.functions import vectors as V
 from loomgraph.operators import similar as S
 from loomgraph.operators.nearest import nearest_sets, nearest_vectors
-from loomgraph.operators.ranking import ranked, share_of_best, top_n
+from loomgraph.operators.ranking import share_of_best, top_n
+from loomgraph.session import cut_lineage
 
 DIM = 64
 
@@ -19,10 +20,15 @@ def votes(t, k=20, **kw):
     return S.vote(near(t, k, **kw), t.truth())
 
 
-def top_items(t):
+def ranked_items(t):
     return share_of_best(top_n(votes(t), ["context"], "score", "item", 30), ["context"], "score")
 
 
+def top_items(t):
+    """The ranked candidates, written out once: the queries below read them several times."""
+    return cut_lineage(ranked_items(t))
+
+
 view("truth_vec_v", """
   SELECT t.context, t.item, c.vec AS cv, i.vec AS iv FROM truth_v t
   JOIN vectors_v c ON t.context = c.context JOIN item_vectors_v i ON t.item = i.item""")
@@ -51,7 +57,7 @@ def _(t):
 
 @entry("w2_top_items", "SELECT context, item, score, rank, round(norm_score, 6) AS norm_score FROM top_v")
 def _(t):
-    return top_items(t).withColumn("norm_score", F.round("norm_score", 6))
+    return ranked_items(t).withColumn("norm_score", F.round("norm_score", 6))
 
 
 view("boosted_near_v", """

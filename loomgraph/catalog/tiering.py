@@ -346,8 +346,8 @@ view("injected_v", """
     best AS (SELECT context, max(score) AS best FROM top_v GROUP BY 1), have AS (SELECT context, count(*) AS n FROM short_v GROUP BY 1),
     added AS (SELECT n.context, n.item, round(b.best * 0.5 * (1 + n.freq / 100), 6) AS score, row_number() OVER (PARTITION BY n.context ORDER BY n.freq DESC, n.item_name, n.item) AS r, coalesce(h.n, 0) AS have
       FROM new n JOIN best b USING (context) LEFT JOIN have h USING (context)),
-    both AS (SELECT context, item, score, tier, false AS injected FROM short_v UNION ALL SELECT context, item, score, 'MEDIUM', true FROM added WHERE r <= 30 - have)
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY list_position(['GOLDEN', 'HIGH', 'MEDIUM', 'LOW', 'FILTER'], tier), score DESC, item) AS rank FROM both) WHERE rank <= 30""")
+    joint AS (SELECT context, item, score, tier, false AS injected FROM short_v UNION ALL SELECT context, item, score, 'MEDIUM', true FROM added WHERE r <= 30 - have)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY list_position(['GOLDEN', 'HIGH', 'MEDIUM', 'LOW', 'FILTER'], tier), score DESC, item) AS rank FROM joint) WHERE rank <= 30""")
 
 
 @entry("p23_class_injection", "SELECT context, item, score, tier, injected, rank FROM injected_v")
@@ -495,7 +495,7 @@ def _(t):
     return df.select("context", "item", PR.priority(F.col("tier"), F.col("coherent")).alias("priority"))
 
 
-@entry("r10_result_summary", "SELECT context, tier, count(*) AS n, round(avg(score), 6) AS mean_score, min(rank) AS best_rank, count(*) FILTER (mechanism) AS n_mechanism FROM final_v GROUP BY 1, 2")
+@entry("r10_result_summary", "SELECT context, tier, count(*) AS n, round(avg(score), 9) AS mean_score, min(rank) AS best_rank, count(*) FILTER (mechanism) AS n_mechanism FROM final_v GROUP BY 1, 2")
 def _(t):
     return PR.result_summary(final(t))
 

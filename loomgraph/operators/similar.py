@@ -119,10 +119,11 @@ def translation_top(contexts: DataFrame, items: DataFrame, relation: Sequence[fl
     return nearest_vectors(queries, corpus, n, metric="euclid", names=("context", "item", "score")).withColumnRenamed("place", "rank")
 
 
-def subsample_votes(
-    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42, digits: int = 9,
+def draw_votes(
+    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42,
+    exclude_self: bool = False, digits: int = 12,
 ) -> DataFrame:
-    """Votes averaged over draws of the training contexts; an absent item counts 0."""
+    """One vote per draw of the training contexts without replacement, all draws in one plan."""
     train = training_vectors(vectors, truth).select("context", "vec")
     tickets = train.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
         "h", seeded_hash(seed, F.col("draw"), F.col("context"))
@@ -132,12 +133,14 @@ def subsample_votes(
     )
     corpus = chosen.select(F.col("context").alias("id"), "vec", "draw")
     queries = as_points(vectors).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    near = nearest_vectors(queries, corpus, k, by=["draw"])
-    scores = (
-        near.join(truth.select(F.col("context").alias("neighbour"), "item"), "neighbour")
-        .groupBy("context", "item").agg(F.round(F.sum("similarity") / draws, digits).alias("score"))
-    )
-    return scores
+    near = nearest_vectors(queries, corpus, k, by=["draw"], exclude_self=exclude_self)
+    known = truth.select(F.col("context").alias("neighbour"), "item")
+    return near.join(known, "neighbour").groupBy("draw", "context", "item").agg(F.round(F.sum("similarity"), digits).alias("score"))
+
+
+def subsample_votes(vectors: DataFrame, truth: DataFrame, draws: int = 10, digits: int = 9, **kw) -> DataFrame:
+    """Votes averaged over the draws; an absent item counts 0."""
+    return draw_votes(vectors, truth, draws, **kw).groupBy("context", "item").agg(F.round(F.sum("score") / draws, digits).alias("score"))
 
 
 def multi_k_scores(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] = (15, 20, 25, 30), top: int = 30) -> DataFrame:

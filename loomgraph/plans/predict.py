@@ -70,7 +70,7 @@ def priority(tier: Column, relevant: Column) -> Column:
 def result_summary(df: DataFrame) -> DataFrame:
     """Counts and means per context and tier."""
     return df.groupBy("context", "tier").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("rank").alias("best_rank"), F.count_if("mechanism").alias("n_mechanism")
+        F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"), F.min("rank").alias("best_rank"), F.count_if("mechanism").alias("n_mechanism")
     )
 
 
