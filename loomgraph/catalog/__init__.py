@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("similarity", "graph", "ingest", "naming", "tiering", "statistics", "fusion")
+MODULES = ("similarity", "graph", "ingest", "naming", "tiering", "statistics", "fusion", "evaluation")
 
 
 def load() -> None:

@@ -264,3 +264,29 @@ def nearest_sets(
     keys = [*by, "q_block", "c_block"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, out)
     return _merge(parts, by, k, names)
+
+
+def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Number of corpus rows that score above ``cut`` for each query row; no pair leaves a task.
+
+    ``queries`` (id, vec, cut), ``corpus`` (id, vec); ids of the queries must be unique.
+    """
+    left, right = _placed(queries.select("id", "vec", "cut"), _fresh(corpus.select("id", "vec")), [], block_rows)
+    id_type = {f.name: f.dataType.simpleString() for f in queries.schema}["id"]
+
+    def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
+        better = np.zeros(ql.num_rows, dtype=np.int64)
+        if ql.num_rows and cl.num_rows:
+            qm, cm = _matrix(ql.column("vec"), ql.num_rows), _matrix(cl.column("vec"), cl.num_rows)
+            if metric == "cosine":
+                qm, cm = _unit(qm), _unit(cm)
+            cut = _numpy(ql, "cut")
+            step = max(1, TILE_CELLS // cl.num_rows)
+            for lo in range(0, ql.num_rows, step):
+                scores = np.round(_compare(metric, qm[lo : lo + step], cm), digits) + 0.0
+                better[lo : lo + step] = (scores > cut[lo : lo + step, None]).sum(axis=1)
+        return pa.table([ql.column("id"), pa.array(better)], names=["id", "better"])
+
+    keys = ["q_block", "c_block"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, f"id {id_type}, better bigint")
+    return parts.groupBy("id").agg(F.sum("better").alias("better"))
