@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("similarity", "graph", "ingest", "naming", "tiering", "statistics", "fusion", "evaluation")
+MODULES = ("similarity", "graph", "ingest", "naming", "tiering", "statistics", "fusion", "evaluation", "learning")
 
 
 def load() -> None:

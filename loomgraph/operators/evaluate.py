@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,10 +208,6 @@ def wilcoxon(df: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
 
 def with_normal_p(df: DataFrame, z: str = "z") -> DataFrame:
     """Two-sided normal p-value for each z (the table has one row per test)."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p_value(s: pd.Series) -> pd.Series:
         return s.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else float("nan"))
@@ -226,10 +224,6 @@ def mcnemar(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def with_sign_p(df: DataFrame) -> DataFrame:
     """T4: exact one-sided binomial p of the discordant pairs (one row)."""
-    import math
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def p_value(b: pd.Series, c: pd.Series) -> pd.Series:
         def one(x: int, y: int) -> float:
