@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut_lineage
+
 
 class Tables:
     """Lazy concept tables over one folder of parquet files; nothing is read before use."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._kept: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -49,12 +52,15 @@ class Tables:
         return lines.join(self.raw("orders"), "o_orderkey")
 
     def truth(self, flag: str = "R") -> DataFrame:
-        return (
-            self._order_lines()
-            .where(F.col("l_returnflag") == flag)
-            .select(F.col("o_custkey").alias("context"), F.col("l_partkey").alias("item"))
-            .distinct()
-        )
+        """Truth pairs, written once per run (S13): nearly every step reads them again."""
+        if flag not in self._kept:
+            self._kept[flag] = cut_lineage(
+                self._order_lines()
+                .where(F.col("l_returnflag") == flag)
+                .select(F.col("o_custkey").alias("context"), F.col("l_partkey").alias("item"))
+                .distinct()
+            )
+        return self._kept[flag]
 
     def item_features(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("feature")).distinct()
