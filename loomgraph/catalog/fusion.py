@@ -34,7 +34,7 @@ view("fused_v", fused_sql("models_v"))
 
 
 def models(t):
-    return {"knn": cut_lineage(top_items(t)), "mechanism": mechanism(t), "translation": translation(t)}
+    return {"knn": top_items(t), "mechanism": mechanism(t), "translation": translation(t)}
 
 
 def fused(t):

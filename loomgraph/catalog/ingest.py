@@ -439,12 +439,12 @@ GROUP_SQL = f"SELECT key, count(*) AS n, {CONF_SQL} AS confidence, min(id) AS fi
 
 
 def by_name(t):
-    return C.keyed_members(named(t), C.name_key())
+    return t.keep("by_name", lambda: C.keyed_members(t.keep("named", lambda: named(t)), C.name_key()))
 
 
 def by_id(t):
     key = F.when(F.col("type") == "Drug", F.concat(F.lit("DrugBank::"), "drugbank_id")).when(F.col("type") == "Gene", F.concat(F.lit("NCBI::"), "ncbi_gene_id"))
-    return C.keyed_members(named(t), key)
+    return t.keep("by_id", lambda: C.keyed_members(t.keep("named", lambda: named(t)), key))
 
 
 @entry("c17_duplicates_by_name", f"{GROUP_SQL} FROM by_name_v GROUP BY 1")

@@ -7,7 +7,6 @@ from loomgraph.functions import vectors as V
 from loomgraph.operators import similar as S
 from loomgraph.operators.nearest import nearest_sets, nearest_vectors
 from loomgraph.operators.ranking import share_of_best, top_n
-from loomgraph.session import cut_lineage
 
 DIM = 64
 
@@ -26,7 +25,7 @@ def ranked_items(t):
 
 def top_items(t):
     """The ranked candidates, written out once: the queries below read them several times."""
-    return cut_lineage(ranked_items(t))
+    return t.keep("top", lambda: ranked_items(t))
 
 
 view("truth_vec_v", """

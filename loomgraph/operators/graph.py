@@ -119,7 +119,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def pair_topology(pairs: DataFrame, edges: DataFrame, a: str, b: str, feature_type: str = "Feature") -> DataFrame:
     """Eleven topological features of each (a, b) pair of node ids."""
-    adj = adjacency(edges)
+    adj = cut_lineage(adjacency(edges))
     deg = adj.groupBy("node").agg(
         F.count("*").alias("degree"), F.count_if(F.startswith("neighbour", F.lit(feature_type + "::"))).alias("features")
     )

@@ -29,8 +29,8 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str,
     needles = needles.select(needle).distinct()
     size = F.least(F.length(needle), F.lit(q))
     n_grams = _grams(needles, needle, q, [], short).where(F.length("gram") == size)
-    counts = n_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    anchors = n_grams.join(counts, "gram").groupBy(needle).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    counts = n_grams.groupBy("gram").agg(F.count("*").alias("__n"))
+    anchors = n_grams.join(counts, "gram").groupBy(needle).agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
     return (
         _grams(texts, text, q, [], short).join(anchors, "gram").where(F.contains(text, needle)).select(text, needle)
     )

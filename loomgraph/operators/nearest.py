@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
 TILE_CELLS = 4_000_000
-VOCABULARY_CHUNK = 4096
+EXPANSION = 8_000_000
 COVERAGE_UNIT = 2.0**24  # one shared feature outweighs any set size
 
 
@@ -76,20 +76,22 @@ def _blocks(n, rows: int, spread: int):
     return F.greatest(F.ceil(n / rows), F.least(F.lit(spread), F.ceil(n / 64)), F.lit(1)).cast("int")
 
 
-def _placed(left: DataFrame, right: DataFrame, by: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+def _placed(left: DataFrame, right: DataFrame, by: list[str], rows: int, long: bool = False) -> tuple[DataFrame, DataFrame]:
     """Give both sides the cells (q_block, c_block) of their group's grid.
 
     The grid of a group follows from its own two sizes, so a group that holds a third of all
     rows is split into many cells while small groups stay one cell.
     """
     whole = not by
+    # long tables repeat an id; the size only sets the number of blocks, so a sketch is enough
+    n_ids = F.approx_count_distinct("id") if long else F.count("*")
     if whole:
         left, right = left.withColumn("__all", F.lit(0)), right.withColumn("__all", F.lit(0))
     keys = ["__all"] if whole else by
     spread = left.sparkSession.sparkContext.defaultParallelism if whole else 1
     sizes = (
-        left.groupBy(*keys).agg(F.countDistinct("id").alias("n_q"))
-        .join(right.groupBy(*keys).agg(F.countDistinct("id").alias("n_c")), keys)
+        left.groupBy(*keys).agg(n_ids.alias("n_q"))
+        .join(right.groupBy(*keys).agg(n_ids.alias("n_c")), keys)
         .select(*keys, _blocks(F.col("n_q"), rows, spread).alias("n_q"), _blocks(F.col("n_c"), rows, 1).alias("n_c"))
     )
     sizes = F.broadcast(sizes) if whole else sizes
@@ -187,6 +189,26 @@ def nearest_vectors(
     return _merge(parts, by, k, names)
 
 
+def _shared_counts(q_row, first, width, c_row, n: int, m: int) -> np.ndarray:
+    """n x m counts of shared features from the posting range of each query entry.
+
+    The entries are expanded in chunks of bounded size, also where one feature is in most sets.
+    """
+    both = np.zeros(n * m, dtype=np.float64)
+    ends = np.cumsum(width)
+    lo = 0
+    while lo < len(width):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + EXPANSION, side="right")))
+        w = width[lo:hi]
+        total = int(w.sum())
+        if total:
+            offset = np.arange(total) - np.repeat(np.cumsum(w) - w, w)
+            cells = np.repeat(q_row[lo:hi].astype(np.int64) * m, w) + c_row[np.repeat(first[lo:hi], w) + offset]
+            both += np.bincount(cells, minlength=n * m)
+        lo = hi
+    return both.reshape(n, m)
+
+
 def nearest_sets(
     queries: DataFrame,
     corpus: DataFrame,
@@ -197,7 +219,7 @@ def nearest_sets(
     min_score: float | None = None,
     digits: int = 6,
     names: tuple[str, str, str] = ("context", "neighbour", "similarity"),
-    block_rows: int = 2048,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k corpus sets that overlap most with every query set.
 
@@ -208,7 +230,7 @@ def nearest_sets(
     by = list(by)
     queries = queries.select("id", "feature", *by)
     corpus = _fresh(corpus.select("id", "feature", *by))
-    left, right = _placed(queries, corpus, by, block_rows)
+    left, right = _placed(queries, corpus, by, block_rows, long=True)
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
     c_type = {f.name: f.dataType.simpleString() for f in corpus.schema}["id"]
     out = ", ".join([f"{b} {types[b]}" for b in by] + [f"q_id {types['id']}", f"c_id {c_type}", "score double"])
@@ -228,25 +250,18 @@ def nearest_sets(
             return table(empty, empty, np.zeros(0), q_ids, c_ids)
         q_size, c_size = np.bincount(q_row), np.bincount(c_row)
         q_feat, c_feat = _numpy(ql, "feature"), _numpy(cl, "feature")
-        shared = np.intersect1d(q_feat, c_feat)
+        by_feature = np.argsort(c_feat, kind="stable")
+        c_feat, c_row = c_feat[by_feature], c_row[by_feature]
+        first = np.searchsorted(c_feat, q_feat, side="left")
+        width = np.searchsorted(c_feat, q_feat, side="right") - first
+        order = np.argsort(q_row, kind="stable")
+        q_row, first, width = q_row[order], first[order], width[order]
         found_q, found_c, found_s = [empty], [empty], [np.zeros(0)]
         step = max(1, TILE_CELLS // len(c_ids))
-
-        def one_hot(rows, n, feats, wanted):
-            pos = np.searchsorted(wanted, feats)
-            pos[pos == len(wanted)] = 0
-            ok = wanted[pos] == feats
-            m = np.zeros((n, len(wanted)), dtype=np.float32)
-            m[rows[ok], pos[ok]] = 1.0
-            return m
-
         for lo in range(0, len(q_ids), step):
             n = min(step, len(q_ids) - lo)
-            mine = (q_row >= lo) & (q_row < lo + n)
-            both = np.zeros((n, len(c_ids)), dtype=np.float64)
-            for f in range(0, len(shared), VOCABULARY_CHUNK):
-                wanted = shared[f : f + VOCABULARY_CHUNK]
-                both += one_hot(q_row[mine] - lo, n, q_feat[mine], wanted) @ one_hot(c_row, len(c_ids), c_feat, wanted).T
+            a, b = np.searchsorted(q_row, [lo, lo + n])
+            both = _shared_counts(q_row[a:b] - lo, first[a:b], width[a:b], c_row, n, len(c_ids))
             scores = both
             if metric == "jaccard":
                 scores = both / (q_size[lo : lo + n, None] + c_size[None, :] - both)

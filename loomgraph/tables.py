@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that one query reads several times, written out at its first use."""
+        if name not in self._kept:
+            self._kept[name] = cut_lineage(build())
+        return self._kept[name]
+
     def contexts(self) -> DataFrame:
         nation = self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
         return (
@@ -53,14 +61,13 @@ class Tables:
 
     def truth(self, flag: str = "R") -> DataFrame:
         """Truth pairs, written once per run (S13): nearly every step reads them again."""
-        if flag not in self._kept:
-            self._kept[flag] = cut_lineage(
-                self._order_lines()
-                .where(F.col("l_returnflag") == flag)
-                .select(F.col("o_custkey").alias("context"), F.col("l_partkey").alias("item"))
-                .distinct()
-            )
-        return self._kept[flag]
+        return self.keep(
+            f"truth_{flag}",
+            lambda: self._order_lines()
+            .where(F.col("l_returnflag") == flag)
+            .select(F.col("o_custkey").alias("context"), F.col("l_partkey").alias("item"))
+            .distinct(),
+        )
 
     def item_features(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("feature")).distinct()
