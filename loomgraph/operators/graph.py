@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import COVERAGE_UNIT, nearest_sets
+from loomgraph.operators.ranking import global_position
 from loomgraph.operators.similar import jaccard_of, pair_sizes
 from loomgraph.session import cut_lineage
 
@@ -183,28 +184,26 @@ def random_walks(edges: DataFrame, walks: int = 10, steps: int = 80, seed: int =
     """Uniform walks from every node, long form (start, walk, step, node).
 
     A step takes one numbered neighbour by an equi join on (node, number), so a hub is never
-    expanded.
+    expanded and the walkers at a hub spread over its numbers.
     """
-    from pyspark.sql import Window
-
-    adj = adjacency(edges)
-    w = Window.partitionBy("node").orderBy("neighbour")
-    numbered = cut_lineage(adj.select("node", (F.row_number().over(w) - 1).cast("bigint").alias("number"), "neighbour"))
-    deg = numbered.groupBy("node").agg(F.count("*").alias("degree"))
+    adj = cut_lineage(adjacency(edges))
+    deg = adj.groupBy("node").agg(F.count("*").alias("degree"))
+    ahead = deg.select(F.col("node").alias("neighbour"), F.col("degree").alias("next_degree"))
+    placed = global_position(adj, [F.col("neighbour")], ["node"], name="place")
+    numbered = cut_lineage(placed.join(ahead, "neighbour").select("node", (F.col("place") - 1).alias("number"), "neighbour", "next_degree"))
     at = deg.select(F.col("node").alias("start"), "node", "degree").withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks))))
     trail = at.select("start", "walk", F.lit(0).alias("step"), "node")
     for step in range(1, steps + 1):
         pick = F.pmod(seeded_hash(seed, F.col("start"), F.col("walk"), F.lit(step)), F.col("degree"))
-        moved = (
+        at = (
             at.withColumn("number", pick.cast("bigint")).join(numbered, ["node", "number"])
-            .select("start", "walk", F.col("neighbour").alias("node")).join(deg, "node")
+            .select("start", "walk", F.col("neighbour").alias("node"), F.col("next_degree").alias("degree"))
         )
         if step % cut_every == 0:
-            moved = cut_lineage(moved)
-        trail = trail.unionByName(moved.select("start", "walk", F.lit(step).alias("step"), "node"))
+            at = cut_lineage(at)
+        trail = trail.unionByName(at.select("start", "walk", F.lit(step).alias("step"), "node"))
         if step % cut_every == 0:
             trail = cut_lineage(trail)
-        at = moved
     return trail
 
 

@@ -131,9 +131,24 @@ def quantile_groups(df: DataFrame, order: Sequence[Column], n: int, name: str =
     return pos.withColumn(name, (part + 1).cast("int")).drop("__pos", "__total")
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], name: str = "cuts") -> DataFrame:
+    """One row with the interpolated quantiles of a whole column, read off at their global positions."""
+    total = df.agg(F.count(value).alias("__n"))
+    placed = global_position(df.select(value).where(F.col(value).isNotNull()), [F.col(value)], name="__pos").join(F.broadcast(total))
+    spots = [(F.col("__n") - 1) * F.lit(float(s)) for s in shares]
+    wanted = F.lit(False)
+    for s in spots:
+        wanted = wanted | (F.col("__pos") == F.floor(s) + 1) | (F.col("__pos") == F.ceil(s) + 1)
+    at = lambda where: F.max(F.when(F.col("__pos") == where + 1, F.col(value)))
+    low = [at(F.floor(s)) for s in spots]
+    high = [at(F.ceil(s)) for s in spots]
+    share = [F.max(s - F.floor(s)) for s in spots]
+    return placed.where(wanted).agg(F.array(*[lo + (hi - lo) * w for lo, hi, w in zip(low, high, share)]).alias(name))
+
+
 def quantile_cuts(df: DataFrame, value: str, shares: Sequence[float], name: str = "band") -> DataFrame:
-    """W4 by value: band = number of quantiles below or at the value (quantiles by one exact aggregate)."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("__cuts"))
+    """W4 by value: band = number of quantiles below the value."""
+    cuts = exact_quantiles(df, value, shares, "__cuts")
     return (
         df.join(F.broadcast(cuts))
         .withColumn(name, F.size(F.filter("__cuts", lambda c: c < F.col(value))))

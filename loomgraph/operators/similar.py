@@ -249,7 +249,7 @@ def attention_transfer(neighbours: DataFrame, truth: DataFrame, item_vectors: Da
     """Weight of the neighbours that hold an item with a cosine above ``floor`` to the candidate."""
     weighted = attention_weights(neighbours).select("context", "neighbour", "weight")
     similar = nearest_vectors(
-        as_points(item_vectors, "item"), as_points(item_vectors, "item"), item_vectors.count(), floor=floor + 1e-6,
+        as_points(item_vectors, "item"), as_points(item_vectors, "item"), 2**31 - 1, floor=floor + 1e-6,
         names=("item", "other", "cosine"),
     ).select("item", "other")
     known = truth.select(F.col("context").alias("neighbour"), F.col("item").alias("other"))
