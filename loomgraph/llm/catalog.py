@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import exact, simhash
+from loomgraph.llm import bpe, exact, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +26,13 @@ def entry(name: str, table: str = "documents", sql: str | None = None):
     return add
 
 
+@entry("op3_bpe_round_trip")
+def op3(spark, docs, folder):
+    return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 @entry("op5_simhash_near_dedup")
 def op5(spark, docs, folder):
     return simhash.near_groups(docs)
