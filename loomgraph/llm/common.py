@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def words(text: str) -> list[bytes]:
 
 def pieces(batch: pa.RecordBatch, text: str = "text", chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many characters each (a longer row comes alone)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch[text]), 0), dtype=np.int64)
     start = 0
     at = np.cumsum(size)
     while start < batch.num_rows:
