@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, simhash
+from loomgraph.llm import bpe, exact, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op3(spark, docs, folder):
     )
 
 
+@entry("op4_toxicity")
+def op4(spark, docs, folder):
+    return toxicity.scored(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @entry("op5_simhash_near_dedup")
 def op5(spark, docs, folder):
     return simhash.near_groups(docs)
