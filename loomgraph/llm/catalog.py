@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, simhash, toxicity
+from loomgraph.llm import bpe, exact, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op5(spark, docs, folder):
     return simhash.near_groups(docs)
 
 
+@entry("op7_decontamination")
+def op7(spark, docs, folder):
+    return tiling.coverage(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @entry("op8_exact_dedup", sql=exact.SQL)
 def op8(spark, docs, folder):
     return exact.groups(docs)

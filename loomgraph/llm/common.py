@@ -56,3 +56,18 @@ def binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
         pa.large_binary(), len(bounds) - 1,
         [None, pa.py_buffer((np.asarray(bounds, np.int64) * data.itemsize).tobytes()), pa.py_buffer(data.tobytes())],
     ).cast(pa.binary())
+
+
+def kept_rows(df: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` accepts, with all columns and without a shuffle.
+
+    ``keep()`` is called once per task and gives a function from a list of texts to a boolean mask.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = keep()
+        for batch in batches:
+            for part in pieces(batch, text):
+                yield part.filter(pa.array(np.asarray(accept([t or "" for t in part[text].to_pylist()]), bool)))
+
+    return df.mapInArrow(run, df.schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold, pieces, texts
+from loomgraph.llm.common import fold, kept_rows, pieces, texts
 from loomgraph.llm.labelled import sample
 
 _WORD = re.compile(r"\w+").findall
@@ -108,26 +108,41 @@ def train(rows: DataFrame, s: Settings) -> tuple[np.ndarray, float]:
     return dense, base
 
 
+def scorer(docs: DataFrame, labels: DataFrame, folds: int, out: int, s: Settings):
+    """A factory, for use in tasks, of a function from texts to probabilities; fits and broadcasts the weights."""
+    dense, base = train(sample(docs, labels, "toxic", folds, out, s.sample), s)
+    used = np.flatnonzero(dense).astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast((used, dense[used], base))  # 2^bits pairs at most
+
+    def make():
+        used, weights, base = sent.value
+        dense = np.zeros(1 << s.bits, np.float32)
+        dense[used] = weights
+
+        def score(batch: list[str]) -> np.ndarray:
+            sums = np.array([dense[features(t, s.bits)].sum(dtype=float) for t in batch], float)
+            return 1 / (1 + np.exp(-np.clip(sums + base, -35, 35)))
+
+        return score
+
+    return make
+
+
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
     score is the model's probability of label 1; predicted is 1 from ``threshold`` on. Null and empty texts have
     the score of the intercept alone. Without any labels all scores are 0.5. Rows that repeat an id
-    are scored each on its own text; a null id is not held out.
+    are scored each on its own text; a null id is not held out. Labels are read from the folds
+    other than ``out`` only.
     """
-    dense, base = train(sample(docs, labels, "toxic", folds, out, settings.sample), settings)
-    used = np.flatnonzero(dense).astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast((used, dense[used], base))  # 2^bits pairs at most
-    bits = settings.bits
+    make = scorer(docs, labels, folds, out, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, weights, base = sent.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[used] = weights
+        score = make()
         for batch in batches:
             for part in pieces(batch):
-                sums = np.array([dense[features(t, bits)].sum(dtype=float) for t in part["text"].to_pylist()], float)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(sums + base, -35, 35))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(score(part["text"].to_pylist()))], ["doc_id", "score"])
 
     source = texts(docs)
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double").select(
@@ -136,7 +151,14 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, thr
     )
 
 
-def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    rejected = scored(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_out"]), "left_anti")
+def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with all their columns; without labels all stay."""
+    if not labels.where("toxic is not null").take(1):
+        return docs
+    make = scorer(docs, labels, folds, out, settings)
+
+    def keep():
+        score = make()
+        return lambda batch: score(batch) < threshold
+
+    return kept_rows(docs, keep)
