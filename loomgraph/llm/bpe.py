@@ -25,7 +25,7 @@ from loomgraph.llm.common import pieces, texts
 
 NEVER = 1 << 40
 #: Words kept per Python worker; the memory is cleared when it is full and fills again.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Letters, numbers and white space of three alphabets: the named properties cut down to ASCII and Latin-1.
 CLASSES = {
     "ascii": {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "},
@@ -58,7 +58,13 @@ def library_classes() -> dict[str, str]:
 
 def alphabet(text: str) -> str:
     """The smallest of the three kinds of texts: ascii, latin (up to U+00FF) or all."""
-    return "ascii" if text.isascii() else "latin" if max(text) <= "\xff" else "all"
+    if text.isascii():
+        return "ascii"
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return "all"
+    return "latin"
 
 
 class Splitter:
@@ -250,7 +256,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | int, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.known]
@@ -273,9 +279,8 @@ class WordEncoder:
             lists.append(found)
             seen.update(found)
         self.learn({w for w in seen if isinstance(w, str)})
-        get = self.known.get
-        marks = {i: np.array([i], "<u4").tobytes() for i in special.values()}
-        return [b"".join([get(w) or marks[w] for w in found]) for found in lists]
+        self.known |= {i: np.array([i], "<u4").tobytes() for i in special.values()}
+        return [b"".join(map(self.known.__getitem__, found)) for found in lists]
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space, as a file without a decoder asks for."""
