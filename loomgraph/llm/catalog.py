@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, exact, language_model, repair, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op5(spark, docs, folder):
     return simhash.near_groups(docs)
 
 
+@entry("op6_lm_score")
+def op6(spark, docs, folder):
+    return language_model.scored(docs)
+
+
 @entry("op7_decontamination")
 def op7(spark, docs, folder):
     return tiling.coverage(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
