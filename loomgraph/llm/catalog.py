@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, language_model, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, exact, html_text, language_model, repair, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op7(spark, docs, folder):
 @entry("op8_exact_dedup", sql=exact.SQL)
 def op8(spark, docs, folder):
     return exact.groups(docs)
+
+
+@entry("op9_html_text", table="pages")
+def op9(spark, pages, folder):
+    return html_text.extracted(pages)
