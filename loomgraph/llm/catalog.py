@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, html_text, language_model, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, exact, html_text, language_model, pii, repair, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,12 @@ def op8(spark, docs, folder):
 @entry("op9_html_text", table="pages")
 def op9(spark, pages, folder):
     return html_text.extracted(pages)
+
+
+@entry("op10_personal_data")
+def op10(spark, docs, folder):
+    found = pii.spans(docs)
+    return found.select(
+        "doc_id", *(pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"),
+    )
