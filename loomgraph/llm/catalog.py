@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, html_text, language_model, pii, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, exact, html_text, language_model, pii, quality, repair, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,11 @@ def entry(name: str, table: str = "documents", sql: str | None = None):
     return add
 
 
+@entry("op1_quality")
+def op1(spark, docs, folder):
+    return quality.scored(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @entry("op2_token_shards")
 def op2(spark, docs, folder):
     return repair.stored(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
