@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm.bpe import REMEMBERED, SPACED, parted
+from loomgraph.llm.bpe import REMEMBERED, SPACED, alphabet, parted
 from loomgraph.llm.common import binaries, partitions, pieces, texts
 from loomgraph.session import new_path
 
@@ -38,15 +38,36 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.known: dict[str | int, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter a byte
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(words)
-        for w, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        plain = [w for w in new if alphabet(w) != "all" and (w[1:] if w[0] == " " else w).isalpha()]
+        rest = set(new).difference(plain)
+        for k in range(0, len(plain), 1 << 14):
+            self._together(plain[k : k + (1 << 14)])
+        for w, coded in zip(rest, self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)):
             self.known[w] = np.array(coded.ids, "<u4").tobytes()
 
+    def _together(self, plain: list[str]) -> None:
+        """Words of letters as one text, which is parted at their spaces, or at line feeds where they have none.
+
+        Tokens know how many bytes they stand for, so their sums tell where each word ends.
+        """
+        parts = [x for w in plain for x in (("", w) if w[0] == " " else ("\n", w))]
+        text = "".join(parts)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(list(map(len, parts if text.isascii() else map(str.encode, parts))))
+        cut = np.searchsorted(np.r_[0, np.cumsum(self.bytes[ids])], ends)
+        coded, cut = ids.tobytes(), (4 * cut).tolist()
+        for w, a, b in zip(plain, cut[::2], cut[1::2]):
+            self.known[w] = coded[a:b]
+
     def encode(self, batch: list[str]) -> list[bytes]:
         lists, seen = [], set()
         for text in batch:
@@ -68,14 +89,15 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _free(hits: np.ndarray) -> np.ndarray:
+def _free(hits: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of places where pairs start, sorted, those that overlap no earlier chosen one (every second of a run)."""
     start = np.r_[True, np.diff(hits) > 1]
     run = np.maximum.accumulate(np.where(start, np.arange(len(hits)), 0))
-    return hits[(np.arange(len(hits)) - run) % 2 == 0]
+    free = (np.arange(len(hits)) - run) % 2 == 0
+    return hits[free], what[free]
 
 
-def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 6, per_round: int = 2560, least: int = 16):
+def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 3, per_round: int = 5100, least: int = 16):
     """(symbols, ends, rules, lengths) after ``rounds`` of replacing the most frequent pairs.
 
     A round counts all pairs inside documents and turns up to ``per_round`` of those that occur
@@ -84,37 +106,40 @@ def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int
     """
     rules: list[np.ndarray] = []
     made = 0
-    seq = symbols.astype(np.int64)
+    seq = symbols.astype(np.uint32)
     for _ in range(rounds):
         room = min(per_round, 65536 - first_rule - made)
         if room <= 0 or len(seq) < 2:
             break
-        key = seq[:-1] << 16 | seq[1:]
-        inside = np.ones(len(key), bool)
-        inside[ends[(ends > 0) & (ends < len(seq))] - 1] = False
+        key = seq[:-1] << np.uint32(16) | seq[1:]
+        slot = (key * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)
+        slot[ends[(ends > 0) & (ends < len(seq))] - 1] = 1 << 20  # pairs across an end
         # a table of hashed counts finds the pairs worth counting exactly: those of the busiest slots
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        table = np.bincount(slot[inside], minlength=1 << 20)
+        table = np.bincount(slot, minlength=(1 << 20) + 1)
+        table[-1] = 0
         busy = table >= max(least, int(np.partition(table, -room)[-room]))
-        at = np.flatnonzero(busy[slot] & inside)
+        at = np.flatnonzero(busy[slot])
         pairs, times = np.unique(key[at], return_counts=True)
         often = np.argsort(-times, kind="stable")[:room]
-        chosen = np.sort(pairs[often[times[often] >= least]])
+        chosen = pairs[often[times[often] >= least]]
+        where = (chosen * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)
+        chosen = chosen[np.sort(np.unique(where, return_index=True)[1])]  # of two in a slot the more frequent one
         if not len(chosen):
             break
-        place = np.minimum(np.searchsorted(chosen, key[at]), len(chosen) - 1)
+        index = np.zeros((1 << 20) + 1, np.int32)
+        index[(chosen * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)] = np.arange(len(chosen))
+        place = index[slot[at]]
         good = chosen[place] == key[at]
         at, place = at[good], place[good]
-        taken = _free(at)
-        number = place[np.searchsorted(at, taken)]
-        seq[taken] = first_rule + made + number
+        taken, number = _free(at, place)
+        seq[taken] = (first_rule + made + number).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
-        ends = np.r_[0, np.cumsum(keep)][ends]
+        ends = ends - np.searchsorted(taken, ends - 1)
         seq = seq[keep]
-        rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], axis=1))
+        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         made += len(chosen)
-    table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+    table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     lengths = np.ones(first_rule + made, np.int64)
     for r, (a, b) in enumerate(table.tolist()):
         lengths[first_rule + r] = lengths[a] + lengths[b]
