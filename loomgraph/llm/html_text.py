@@ -154,7 +154,7 @@ def judged(found: list[Block], short: int = 70, long: int = 200, links: float =
     article with text. Else link density over ``links`` is out; from ``long`` characters on, or in a marked article
     from ``short`` on, a block is in if its share of stop words is ``stop`` at least; other blocks stay
     open. Second pass: an open block is in if its nearest decided neighbours (of the same part of the page) are,
-    if one of them is and the block isn't short or stands in a marked article, and if a marked article has none.
+    if one of them is and the block isn't short or stands in a marked article, and if there are none.
     """
     marked = any(b.article and not b.frame for b in found)
     for b in found:
@@ -174,16 +174,18 @@ def judged(found: list[Block], short: int = 70, long: int = 200, links: float =
     for article in {b.article for b in found}:
         group = [b for b in found if b.article == article and not b.frame]
         first = [b.verdict for b in group]
+        # beyond the ends of a page without a marked article stands what is no text, unless nothing is decided at all
+        edge = None if article or all(v is None for v in first) else False
         before: list[bool | None] = []
-        last = None
+        last = edge
         for v in first:
             before.append(last)
             last = v if v is not None else last
-        last = None
+        last = edge
         for i in range(len(group) - 1, -1, -1):
             if first[i] is None:
                 sides = {x for x in (before[i], last) if x is not None}
-                group[i].verdict = bool(article) if not sides else sides == {True} or len(sides) == 2 and (bool(article) or len(group[i].text) >= short)
+                group[i].verdict = not sides or sides == {True} or len(sides) == 2 and (bool(article) or len(group[i].text) >= short)
             else:
                 last = first[i]
     return found

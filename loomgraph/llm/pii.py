@@ -2,9 +2,10 @@
 
 A value found by a pattern (an entity) is protected. How much a term near it discloses is the pointwise mutual
 information of the two over the corpus, as a share of the entity's own information:
-log(n_et N / (n_e n_t)) / log(N / n_e), with N documents, n_t of them holding the term, n_e distinct
-surroundings of the entity and n_et of these with the term. From a threshold on, the term is marked
-wherever it stands near that entity, and generalised or removed with it.
+log(n_et N / (n_e n_t)) / log(N / n_e), with N documents, n_t of them holding the term, n_e
+occurrences of the entity and n_et of these with the term beside it. From a threshold on, and with enough
+surroundings that differ, the term is marked wherever it stands near that entity, and generalised or
+removed with it.
 """
 
 from __future__ import annotations
@@ -162,17 +163,19 @@ def document_counts(docs: DataFrame, terms: DataFrame, s: Settings = Settings())
 
 
 def disclosing(docs: DataFrame, found: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(entity, term, share) of the terms that give an entity away. Copies of a surrounding count once."""
-    near = found.select(F.explode("near").alias("x")).select("x.entity", "x.around", "x.terms").dropDuplicates(["entity", "around"])
-    pairs = (
-        near.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= s.support)
+    """(entity, term, share) of the terms that give an entity away. Copies of a surrounding support a term once."""
+    near = (
+        found.select(F.explode("near").alias("x")).groupBy("x.entity", "x.around")
+        .agg(F.count("*").alias("times"), F.first("x.terms").alias("terms"))
     )
-    pairs = cut_lineage(pairs)
-    sizes = near.groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = cut_lineage(
+        near.select("entity", "times", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+        .groupBy("entity", "term").agg(F.sum("times").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= s.support)
+    )
+    sizes = near.groupBy("entity").agg(F.sum("times").alias("n_e"))
     n = found.count()
     counts = document_counts(docs, pairs.select("term").distinct(), s)
-    share = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
+    share = F.log(F.least("n_et", "n_t") * n / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
     return (
         pairs.join(sizes, "entity").join(counts, "term").where(F.col("n_e") < n)
         .select("entity", "term", share.alias("share")).where(F.col("share") >= s.threshold)
