@@ -8,7 +8,9 @@ counts, and the probabilities add up to one at every state without pruning.
 The automaton grows with the corpus, so no task holds it whole. Documents are dealt into blocks of
 bounded size. A block sends the n-grams it has, once each, with its own training counts; the counts
 are added up by n-gram; a block gets back only totals that differ from its own. With these it has
-its part of the automaton and runs over each of its texts once.
+its part of the automaton and runs over each of its texts once. N-grams travel by slots of the range
+of their hashes, sorted and packed: many keys of one block in one row, in half the bytes of rows of
+their own.
 """
 
 from __future__ import annotations
@@ -18,15 +20,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold, partitions, pieces, texts, words
+from loomgraph.llm.common import fold, pieces, texts, words
 
 #: The end of a text, which also stands before its first word; no word is a line feed.
 END = xxhash.xxh3_64_intdigest(b"\n")
 _HELD = 1 << 22
-_N, _V = 0, 2  # keys of the two totals; n-grams never have them
+PACK = "slot int, block int, keys binary, counts binary"
+ANSWER = "block int, keys binary, counts binary, train_tokens long, types long"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers by byte planes, so that what is alike in all of them takes no room."""
+    wide = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +94,9 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def _emit(order: int):
+def _emit(order: int, bits: int):
+    """Packed distinct keys of each block, slot by slot; a block that is long comes in several packs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
@@ -79,9 +104,12 @@ def _emit(order: int):
         def flush():
             for block, parts in held.items():
                 keys, n = _counted(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
-                where = np.int64(block) << np.int64(32) | n
-                for at in range(0, len(keys), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 17)].view(np.int64)), pa.array(where[at : at + (1 << 17)])], ["key", "place"])
+                slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(slot, prepend=-1))
+                rows = [(int(slot[a]), block, packed(_steps(keys[a:b])), packed(n[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(keys)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["slot", "block", "keys", "counts"]
+                )
 
         for batch in batches:
             for part in pieces(batch):
@@ -92,8 +120,8 @@ def _emit(order: int):
                 for block in np.unique(of):
                     mine = by_token == block
                     held.setdefault(int(block), []).extend((k[ok & mine], learns[ok & mine]) for k, ok in grams(flat, n, order))
-                size += len(flat) * order
-            if size > _HELD * order:
+                size += len(flat)
+            if size > _HELD:
                 yield from flush()
                 held, size = {}, 0
         yield from flush()
@@ -101,22 +129,49 @@ def _emit(order: int):
     return run
 
 
+def _merge(blocks: int):
+    """Totals of a slot's keys, sent to each block where they exceed its own counts, with the slot's sums."""
+
+    def run(table: pa.Table) -> pa.Table:
+        of = table["block"].to_numpy()
+        keys = [_keys(unpacked(x)) for x in table["keys"].to_pylist()]
+        own = [unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate(own), minlength=len(found)).astype(np.int64)
+        single = found & np.uint64(1) == 1
+        sums = int(total[single].sum()), int((total[single] > 0).sum())
+        ends = np.cumsum([len(k) for k in keys])
+        send: dict[int, list[np.ndarray]] = {b: [] for b in range(blocks)}
+        for block, end, mine in zip(of, ends, own):
+            at = back[end - len(mine) : end]
+            send[int(block)].append(at[total[at] > mine])
+        rows = []
+        for block, parts in send.items():
+            at = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
+            rows.append((block, packed(_steps(found[at])), packed(total[at]), *sums))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["block", "keys", "counts", "train_tokens", "types"])
+
+    return run
+
+
 def _score(order: int, prior: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, total = right["key"].to_numpy().view(np.uint64), right["total"].to_numpy()
-        by = np.argsort(key, kind="stable")
+        key = np.concatenate([np.empty(0, np.uint64), *(_keys(unpacked(x)) for x in right["keys"].to_pylist())])
+        total = np.concatenate([np.empty(0, np.int64), *(unpacked(x).astype(np.int64) for x in right["counts"].to_pylist())])
+        by = np.argsort(key, kind="stable")  # slots come in any order
         key, total = key[by], total[by]
-        tokens_n, types = (int(total[np.searchsorted(key, np.uint64(k))]) for k in (_N, _V))
+        tokens_n, types = (int(right[c].to_numpy().sum()) for c in ("train_tokens", "types"))
         counts: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * order
-        batches = [p for b in left.to_batches() for p in pieces(b)]
-        seen: list[list[np.ndarray]] = [[] for _ in range(order)]
-        for part in batches:  # what the block itself has learned
-            flat, n = tokens(part["text"].to_pylist())
-            learns = np.repeat(part["train"].to_numpy(zero_copy_only=False), n)
-            for i, (k, ok) in enumerate(grams(flat, n, order)):
-                seen[i].append(k[ok & learns])
-        for i, parts in enumerate(seen):
-            counts[i] = np.unique(np.concatenate(parts), return_counts=True) if parts else counts[i]
+        batches = [(p["doc_id"], p["train"].to_numpy(zero_copy_only=False), *tokens(p["text"].to_pylist())) for b in left.to_batches() for p in pieces(b)]
+        none = left["doc_id"].slice(0, 0)
+        del left
+        for i in range(order):  # what the block itself has learned
+            seen = []
+            for _, train, flat, n in batches:
+                k, ok = grams(flat, n, i + 1)[i]
+                seen.append(k[ok & np.repeat(train, n)])
+            counts[i] = np.unique(np.concatenate(seen), return_counts=True) if seen else counts[i]
         del seen
 
         def count(i: int, wanted: np.ndarray) -> np.ndarray:
@@ -124,8 +179,7 @@ def _score(order: int, prior: float):
 
         scale = tokens_n + 0.5 * (types + 1)
         rows = []
-        for part in batches:
-            flat, n = tokens(part["text"].to_pylist())
+        for ids, _, flat, n in batches:
             first = np.cumsum(n) - n
             found = grams(flat, n, order)
             c = count(0, found[0][0])
@@ -141,11 +195,11 @@ def _score(order: int, prior: float):
                 p = np.where(ok, (arc + prior * p) / (state + prior), p)
                 history = np.where(ok, arc, 0)
             rows.append(pa.table({
-                "doc_id": part["doc_id"], "n_tokens": pa.array(n),
+                "doc_id": ids, "n_tokens": pa.array(n),
                 "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(len(n), tokens_n)),
                 "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(np.log10(p), first)),
             }))
-        return pa.concat_tables(rows) if rows else pa.table({"doc_id": left["doc_id"], **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
+        return pa.concat_tables(rows) if rows else pa.table({"doc_id": none, **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
 
     return run
 
@@ -160,30 +214,17 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, prior:
     """
     source = texts(docs)
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + chars // block_chars
+    blocks = int(1 + chars // block_chars)
     dealt = source.select(
         "doc_id", "text", F.coalesce(fold(F.col("doc_id"), folds) != out, F.lit(True)).alias("train"),
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
     ).repartition(blocks, "block")
-    by_key = dealt.mapInArrow(_emit(order), "key long, place long").repartition(partitions(docs, blocks), "key")
-    own = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    single = dealt.mapInArrow(_emit(1), "key long, place long")
-    sums = single.groupBy("key").agg(F.sum(own).alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")
-    )
-    totals = (  # two rows for each block
-        sums.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1)))))
-        .select("block", F.explode(F.array(
-            F.struct(F.lit(_N).cast("long").alias("key"), F.col("n").alias("total")),
-            F.struct(F.lit(_V).cast("long").alias("key"), F.col("v").alias("total")),
-        )).alias("x")).select("block", "x.key", "x.total")
-    )
+    bits = (8 * blocks).bit_length()
     answers = (
-        by_key.withColumn("total", F.sum(own).over(Window.partitionBy("key"))).where(F.col("total") > own)
-        .select(F.shiftright("place", 32).cast("int").alias("block"), "key", "total")
+        dealt.mapInArrow(_emit(order, bits), PACK).groupBy("slot").applyInArrow(_merge(blocks), ANSWER)
     )
     key = source.schema["doc_id"].dataType.simpleString()
-    result = dealt.groupBy("block").cogroup(answers.unionByName(totals).groupBy("block")).applyInArrow(
+    result = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(order, prior), f"doc_id {key}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return result.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == out, F.lit(False)))
