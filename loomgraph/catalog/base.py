@@ -73,7 +73,7 @@ view("truth_v", "SELECT DISTINCT o_custkey AS context, l_partkey AS item FROM or
 view("truth_extra_v", "SELECT DISTINCT o_custkey AS context, l_partkey AS item FROM order_lines_v WHERE l_returnflag = 'A'")
 view("item_features_v", "SELECT DISTINCT l_partkey AS item, l_suppkey AS feature FROM lineitem")
 view("context_features_v", """
-  SELECT DISTINCT o_custkey AS context, l_suppkey AS feature FROM order_lines_v WHERE o_orderpriority = '1-URGENT'""")
+  SELECT DISTINCT o_custkey AS context, l_suppkey AS feature FROM order_lines_v""")
 view("feature_groups_v", "SELECT s_suppkey AS feature, s_nationkey AS grp FROM supplier")
 view("feature_net_v", """
   SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (

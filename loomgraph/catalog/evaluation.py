@@ -250,7 +250,7 @@ def _(t):
     c = t.contexts()
     none = c.groupBy("name").agg(F.max((F.col("balance") > 9000).cast("int")).alias("approved")).where("approved = 0").select("name")
     graph = c.where("balance > 5000").select(F.col("name").alias("g")).distinct()
-    found = N.either_contains(none, "name", graph, "g", 5).select("name").distinct().withColumn("y", F.lit(1))
+    found = N.either_contains(none, "name", graph, "g", 5, short=True).select("name").distinct().withColumn("y", F.lit(1))
     return none.join(found, "name", "left").select("name", F.coalesce("y", F.lit(0)).alias("in_graph"))
 
 
@@ -447,11 +447,11 @@ def _(t):
 
 @entry("t5_bootstrap_interval", """
   WITH p AS (SELECT h1, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || context), 1, 8))::BIGINT, context) AS position, count(*) OVER () AS n FROM both_hits_v),
-    d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || position), 1, 8))::BIGINT % n + 1 AS pick FROM p, (SELECT unnest(range(1, 201)) AS rep)),
+    d AS (SELECT rep, ('0x' || substr(md5('42:' || rep || ':' || position), 1, 8))::BIGINT % n + 1 AS pick FROM p, (SELECT unnest(range(1, 1001)) AS rep)),
     m AS (SELECT rep, avg(h1) AS m FROM d JOIN p ON p.position = d.pick GROUP BY 1)
   SELECT count(*) AS reps, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def _(t):
-    return E.bootstrap_mean(both_hits(t), "context", "h1", reps=200)
+    return E.bootstrap_mean(both_hits(t), "context", "h1", reps=1000)
 
 
 @entry("t6_effect_size", """

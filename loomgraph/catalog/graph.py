@@ -169,10 +169,11 @@ view("path_edges_v", """
   SELECT source, relation, target FROM edges_v WHERE relation IN ('targets', 'interacts_with', 'treats')
   UNION ALL SELECT target, relation, source FROM edges_v WHERE relation = 'associated_with'""")
 view("hops_v", "SELECT source AS x, target AS y, min(relation) AS relation FROM path_edges_v GROUP BY 1, 2")
+view("inner_hops_v", "SELECT * FROM hops_v WHERE starts_with(x, 'Feature::') AND starts_with(y, 'Feature::')")
 view("pair_nodes_v", "SELECT 'Item::' || item AS source, 'Context::' || context AS target FROM top_v")
 view("paths_v", """
-  SELECT source, target, nodes, relations, len(relations) AS length, place FROM (
-    SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(relations), nodes) AS place FROM (
+  SELECT source, target, nodes, relations, len(relations) AS length, place, n_paths FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY len(relations), nodes) AS place, count(*) OVER (PARTITION BY source, target) AS n_paths FROM (
       SELECT p.source, p.target, [a.x, a.y] AS nodes, [a.relation] AS relations FROM pair_nodes_v p JOIN hops_v a ON a.x = p.source AND a.y = p.target
       UNION ALL
       SELECT p.source, p.target, [a.x, a.y, b.y], [a.relation, b.relation] FROM pair_nodes_v p JOIN hops_v b ON b.y = p.target
@@ -180,7 +181,12 @@ view("paths_v", """
       UNION ALL
       SELECT p.source, p.target, [a.x, a.y, b.y, c.y], [a.relation, b.relation, c.relation] FROM pair_nodes_v p JOIN hops_v c ON c.y = p.target
         JOIN hops_v b ON b.y = c.x JOIN hops_v a ON a.x = p.source AND a.y = b.x
-        WHERE a.y <> p.target AND b.y <> p.target AND b.y <> p.source AND a.y <> b.y)) WHERE place <= 10""")
+        WHERE a.y <> p.target AND b.y <> p.target AND b.y <> p.source AND a.y <> b.y
+      UNION ALL
+      SELECT p.source, p.target, [a.x, a.y, b.y, c.y, d.y], [a.relation, b.relation, c.relation, d.relation] FROM pair_nodes_v p JOIN hops_v d ON d.y = p.target
+        JOIN inner_hops_v c ON c.y = d.x JOIN inner_hops_v b ON b.y = c.x JOIN hops_v a ON a.x = p.source AND a.y = b.x
+        WHERE a.y <> p.target AND b.y <> p.target AND c.y <> p.target AND b.y <> p.source AND c.y <> p.source
+          AND a.y <> b.y AND a.y <> c.y AND b.y <> c.y)) WHERE place <= 10""")
 
 
 def path_edges(t):
@@ -195,7 +201,7 @@ def node_pairs(t):
 
 
 def found_paths(t):
-    return P.simple_paths(node_pairs(t), path_edges(t), 3, 10)
+    return P.simple_paths(node_pairs(t), path_edges(t), 4, 10)
 
 
 PATH_SQL = "nodes[1] || array_to_string(list_transform(list_zip(relations, nodes[2:]), lambda z: ' -[' || z[1] || ']-> ' || z[2]), '')"
@@ -222,7 +228,7 @@ def _(t):
 
 view("best_paths_v", """
   SELECT source, target, score, n_paths, best_path, row_number() OVER (PARTITION BY target ORDER BY score DESC, source) AS rank FROM (
-    SELECT source, target, max(score) AS score, count(*) AS n_paths, arg_max(path, (score, -place)) AS best_path FROM path_scores_v GROUP BY 1, 2)""")
+    SELECT source, target, max(score) AS score, max(n_paths) AS n_paths, arg_max(path, (score, -place)) AS best_path FROM path_scores_v GROUP BY 1, 2)""")
 
 
 @entry("g13_multi_hop_candidates", "SELECT * FROM best_paths_v WHERE rank <= 50")
@@ -231,13 +237,13 @@ def _(t):
 
 
 @entry("g14_explanation", """
-  WITH n AS (SELECT source, target, count(*) AS n_paths FROM paths_v GROUP BY 1, 2)
+  WITH n AS (SELECT source, target, max(n_paths) AS n_paths FROM paths_v GROUP BY 1, 2)
   SELECT s.context, s.item, coalesce(n.n_paths, 0) AS n_paths, s.n_shared AS n_targets, g.n_shared AS n_pathways,
     round(least(least(coalesce(n.n_paths, 0) * 0.1, 0.3) + least(s.n_shared * 0.15, 0.4) + least(g.n_shared * 0.1, 0.3), 1.0), 6) AS confidence
   FROM shared_v s JOIN shared_groups_v g USING (context, item)
   LEFT JOIN n ON n.source = 'Item::' || s.item AND n.target = 'Context::' || s.context""")
 def _(t):
-    n = found_paths(t).groupBy("source", "target").agg(F.count("*").alias("n_paths")).select(
+    n = found_paths(t).groupBy("source", "target").agg(F.max("n_paths").alias("n_paths")).select(
         F.split_part("source", F.lit("::"), F.lit(2)).cast("bigint").alias("item"),
         F.split_part("target", F.lit("::"), F.lit(2)).cast("bigint").alias("context"), "n_paths")
     a = G.shared_features(pairs(t), t.item_features(), t.context_features()).select(*ids, F.col("n_shared").alias("n_targets"))
@@ -340,6 +346,18 @@ view("trail_v", """
   WHERE t.step < 4""", recursive=True)
 
 
+@entry("g18_context_neighbours", """
+  SELECT DISTINCT node, CASE WHEN contains(lower(relation), 'treat') THEN 'treatments' ELSE split_part(other, '::', 1) END AS kind, other AS neighbour FROM (
+    SELECT source AS node, target AS other, relation FROM edges_v UNION ALL SELECT target, source, relation FROM edges_v) WHERE starts_with(node, 'Context::')""")
+def _(t):
+    return G.profile_members(t.edges(), "Context")
+
+
+@entry("g21_neighbours", "SELECT node, neighbour FROM adj_v")
+def _(t):
+    return G.adjacency(t.edges()).select("node", "neighbour")
+
+
 @entry("g22_random_walks", "SELECT start, walk, step, node FROM trail_v")
 def _(t):
     return G.random_walks(t.edges(), walks=2, steps=4)

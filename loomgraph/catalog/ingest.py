@@ -457,6 +457,20 @@ def _(t):
     return C.duplicate_groups(by_id(t)).drop("x", "s")
 
 
+def members_sql(view_name):
+    return f"SELECT m.key, m.id, m.source, m.base, g.n, g.confidence FROM {view_name} m JOIN ({GROUP_SQL} FROM {view_name} GROUP BY 1) g ON g.key = m.key"
+
+
+@entry("c17_duplicate_members_by_name", members_sql("by_name_v"))
+def _(t):
+    return C.group_members(by_name(t))
+
+
+@entry("c18_duplicate_members_by_external_id", members_sql("by_id_v"))
+def _(t):
+    return C.group_members(by_id(t))
+
+
 @entry("c19_base_id", f"SELECT id, {BASE_SQL} AS base FROM nodes_v")
 def _(t):
     return nodes(t).select("id", T.base_id(F.col("id")).alias("base"))

@@ -54,6 +54,13 @@ def _(t):
     return votes(t)
 
 
+@entry("k3_vote_on_items_with_vectors", """
+  SELECT n.context, t.item, round(sum(n.similarity), 6) AS score FROM near_v n JOIN truth_v t ON n.neighbour = t.context
+  WHERE t.item IN (SELECT item FROM item_vectors_v) GROUP BY 1, 2""")
+def _(t):
+    return S.vote(near(t), t.truth(), items=t.item_vectors())
+
+
 @entry("w2_top_items", "SELECT context, item, score, rank, round(norm_score, 6) AS norm_score FROM top_v")
 def _(t):
     return ranked_items(t).withColumn("norm_score", F.round("norm_score", 6))

@@ -320,7 +320,7 @@ def _(t):
     approved = t.truth("A").join(t.items().where("size = 1").select("item", F.col("name").alias("item_name")), "item").join(t.categories(), "context").select(
         "item_name", F.concat(F.col("category"), F.lit(" nation_2")).alias("use")).distinct()
     df = named_top(t)
-    match = either_contains(df.select("context_name"), "context_name", approved.select("use"), "use", 5)
+    match = either_contains(df.select("context_name"), "context_name", approved.select("use"), "use", 5, short=True)
     ok = approved.join(match, "use").select("item_name", "context_name").distinct().withColumn("approved", F.lit(True))
     return df.join(ok, ["item_name", "context_name"], "left").select("context", "item", F.coalesce("approved", F.lit(False)).alias("approved"), F.col("item_name").rlike("^(old (rod|gizmo))").alias("withdrawn"))
 

@@ -178,6 +178,11 @@ def duplicate_groups(members: DataFrame) -> DataFrame:
     )
 
 
+def group_members(members: DataFrame) -> DataFrame:
+    """Every member of a group with its source and base id, and the size and confidence of the group."""
+    return members.join(duplicate_groups(members).select("key", "n", "confidence"), "key").select("key", "id", "source", "base", "n", "confidence")
+
+
 def merged_duplicates(by_name: DataFrame, by_id: DataFrame) -> DataFrame:
     """Id groups (each member set once), then the name groups without a member in any id group.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
-from loomgraph.operators.nearest import COVERAGE_UNIT, nearest_sets
+from loomgraph.operators.nearest import nearest_sets
 from loomgraph.operators.ranking import global_position
 from loomgraph.operators.similar import jaccard_of, pair_sizes
 from loomgraph.session import cut_lineage
@@ -151,8 +151,8 @@ def pair_topology(pairs: DataFrame, edges: DataFrame, a: str, b: str, feature_ty
     )
 
 
-def profile(edges: DataFrame, node_type: str, treatment_word: str = "treat") -> DataFrame:
-    """Neighbours of each node of a type by kind; treatment edges of both directions are one kind."""
+def profile_members(edges: DataFrame, node_type: str, treatment_word: str = "treat") -> DataFrame:
+    """(node, kind, neighbour) of each node of a type; treatment edges of both directions are one kind."""
     prefix = F.lit(node_type + "::")
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "relation").unionByName(
         edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "relation")
@@ -160,8 +160,13 @@ def profile(edges: DataFrame, node_type: str, treatment_word: str = "treat") ->
     kind = F.when(F.contains(F.lower("relation"), F.lit(treatment_word)), F.lit("treatments")).otherwise(
         F.split_part("other", F.lit("::"), F.lit(1))
     )
-    return both.select("node", kind.alias("kind"), "other").distinct().groupBy("node", "kind").agg(
-        F.count("*").alias("n"), F.min("other").alias("first"), F.max("other").alias("last")
+    return both.select("node", kind.alias("kind"), F.col("other").alias("neighbour")).distinct()
+
+
+def profile(edges: DataFrame, node_type: str, treatment_word: str = "treat") -> DataFrame:
+    """The neighbours of each node by kind, counted."""
+    return profile_members(edges, node_type, treatment_word).groupBy("node", "kind").agg(
+        F.count("*").alias("n"), F.min("neighbour").alias("first"), F.max("neighbour").alias("last")
     )
 
 
@@ -169,14 +174,12 @@ def coverage_ranking(gene_lists: DataFrame, item_features: DataFrame, n: int = 3
     """Items by features hit, then by specificity (hits / own features)."""
     best = nearest_sets(
         gene_lists.select(F.col("context").alias("id"), "feature"), item_features.select(F.col("item").alias("id"), "feature"),
-        n, metric="coverage", names=("context", "item", "key"),
+        n, metric="coverage", names=("context", "item", "hits"),
     )
-    hits = F.ceil(F.col("key") / COVERAGE_UNIT)
-    size = hits * F.lit(COVERAGE_UNIT) - F.col("key")
     listed = gene_lists.groupBy("context").agg(F.count("*").alias("listed"))
     return best.join(listed, "context").select(
-        "context", "item", hits.cast("bigint").alias("hits"),
-        F.round(hits / F.col("listed"), 6).alias("coverage"), F.round(hits / size, 6).alias("specificity"), F.col("place").alias("rank"),
+        "context", "item", F.col("hits").cast("bigint").alias("hits"),
+        F.round(F.col("hits") / F.col("listed"), 6).alias("coverage"), F.round(F.col("hits") / F.col("size"), 6).alias("specificity"), F.col("place").alias("rank"),
     )
 
 
@@ -192,7 +195,8 @@ def random_walks(edges: DataFrame, walks: int = 10, steps: int = 80, seed: int =
     placed = global_position(adj, [F.col("neighbour")], ["node"], name="place")
     numbered = cut_lineage(placed.join(ahead, "neighbour").select("node", (F.col("place") - 1).alias("number"), "neighbour", "next_degree"))
     at = deg.select(F.col("node").alias("start"), "node", "degree").withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks))))
-    trail = at.select("start", "walk", F.lit(0).alias("step"), "node")
+    stretch = at.select("start", "walk", F.lit(0).alias("step"), "node")
+    written = []
     for step in range(1, steps + 1):
         pick = F.pmod(seeded_hash(seed, F.col("start"), F.col("walk"), F.lit(step)), F.col("degree"))
         at = (
@@ -201,9 +205,13 @@ def random_walks(edges: DataFrame, walks: int = 10, steps: int = 80, seed: int =
         )
         if step % cut_every == 0:
             at = cut_lineage(at)
-        trail = trail.unionByName(at.select("start", "walk", F.lit(step).alias("step"), "node"))
-        if step % cut_every == 0:
-            trail = cut_lineage(trail)
+        stretch = stretch.unionByName(at.select("start", "walk", F.lit(step).alias("step"), "node"))
+        if step % cut_every == 0 or step == steps:
+            written.append(cut_lineage(stretch))  # each stretch of steps once
+            stretch = stretch.limit(0)
+    trail = written[0]
+    for part in written[1:]:
+        trail = trail.unionByName(part)
     return trail
 
 

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8192
 TILE_CELLS = 4_000_000
 EXPANSION = 8_000_000
-COVERAGE_UNIT = 2.0**24  # one shared feature outweighs any set size
 
 
 def _best_in_tile(scores: np.ndarray, k: int, floor: float | None):
@@ -107,13 +106,13 @@ def _placed(left: DataFrame, right: DataFrame, by: list[str], rows: int, long: b
     return cells(left, "q_block", "n_q", "c_block", "n_c"), cells(right, "c_block", "n_c", "q_block", "n_q")
 
 
-def _merge(parts: DataFrame, by: Sequence[str], k: int, names: tuple[str, str, str]) -> DataFrame:
+def _merge(parts: DataFrame, by: Sequence[str], k: int, names: tuple[str, str, str], then: Sequence[str] = ()) -> DataFrame:
     q, n, s = names
-    w = Window.partitionBy(*by, "q_id").orderBy(F.col("score").desc(), F.col("c_id"))
+    w = Window.partitionBy(*by, "q_id").orderBy(F.col("score").desc(), *then, F.col("c_id"))
     return (
         parts.withColumn("place", F.row_number().over(w))
         .where(F.col("place") <= k)
-        .select(*by, F.col("q_id").alias(q), F.col("c_id").alias(n), F.col("score").alias(s), "place")
+        .select(*by, F.col("q_id").alias(q), F.col("c_id").alias(n), F.col("score").alias(s), *then, "place")
     )
 
 
@@ -225,7 +224,7 @@ def nearest_sets(
 
     Both sides are long tables ``(id, feature)`` with distinct rows.  ``metric`` is
     ``overlap`` (number of shared features), ``jaccard`` or ``coverage`` (shared features, then
-    the smaller corpus set); pairs that share nothing are never reported.
+    the smaller corpus set, whose ``size`` is returned); pairs that share nothing are never reported.
     """
     by = list(by)
     queries = queries.select("id", "feature", *by)
@@ -233,15 +232,19 @@ def nearest_sets(
     left, right = _placed(queries, corpus, by, block_rows, long=True)
     types = {f.name: f.dataType.simpleString() for f in queries.schema}
     c_type = {f.name: f.dataType.simpleString() for f in corpus.schema}["id"]
-    out = ", ".join([f"{b} {types[b]}" for b in by] + [f"q_id {types['id']}", f"c_id {c_type}", "score double"])
+    sized = metric == "coverage"
+    out = ", ".join([f"{b} {types[b]}" for b in by] + [f"q_id {types['id']}", f"c_id {c_type}", "score double"] + ["size bigint"] * sized)
 
     def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
-        schema_names = [*by, "q_id", "c_id", "score"]
+        schema_names = [*by, "q_id", "c_id", "score"] + ["size"] * sized
 
-        def table(q_take, c_take, scores, q_ids, c_ids):
+        def table(q_take, c_take, scores, q_ids, c_ids, c_size=None):
             arrays = [ql.column(b).take(pa.array(np.zeros(len(q_take), dtype=np.int64))) for b in by]
             arrays += [pa.array(q_ids[q_take], ql.column("id").type), pa.array(c_ids[c_take], cl.column("id").type)]
-            return pa.table([*arrays, pa.array(scores, pa.float64())], names=schema_names)
+            arrays.append(pa.array(scores, pa.float64()))
+            if sized:
+                arrays.append(pa.array(c_size[c_take] if len(c_take) else [], pa.int64()))
+            return pa.table(arrays, names=schema_names)
 
         empty = np.zeros(0, dtype=np.int64)
         q_ids, q_row = np.unique(_numpy(ql, "id"), return_inverse=True)
@@ -257,6 +260,7 @@ def nearest_sets(
         order = np.argsort(q_row, kind="stable")
         q_row, first, width = q_row[order], first[order], width[order]
         found_q, found_c, found_s = [empty], [empty], [np.zeros(0)]
+        sizes, by_size = np.unique(c_size, return_inverse=True)
         step = max(1, TILE_CELLS // len(c_ids))
         for lo in range(0, len(q_ids), step):
             n = min(step, len(q_ids) - lo)
@@ -265,20 +269,20 @@ def nearest_sets(
             scores = both
             if metric == "jaccard":
                 scores = both / (q_size[lo : lo + n, None] + c_size[None, :] - both)
-            elif metric == "coverage":
-                scores = both * COVERAGE_UNIT - c_size[None, :]
+            elif sized:  # whole numbers: the place of a size among those here, below one shared feature
+                scores = both * float(len(sizes)) - by_size[None, :]
             scores = np.where(both > 0, np.round(scores, digits), -np.inf)
             if exclude_self:
                 scores[q_ids[lo : lo + n, None] == c_ids[None, :]] = -np.inf
             r, c = _best_in_tile(scores, k, min_score)
             found_q.append(r + lo)
             found_c.append(c)
-            found_s.append(scores[r, c])
-        return table(np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s), q_ids, c_ids)
+            found_s.append((both if sized else scores)[r, c])
+        return table(np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s), q_ids, c_ids, c_size)
 
     keys = [*by, "q_block", "c_block"]
     parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, out)
-    return _merge(parts, by, k, names)
+    return _merge(parts, by, k, names, ["size"] * sized)
 
 
 def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:

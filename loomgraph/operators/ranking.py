@@ -83,7 +83,8 @@ def global_position(
     within = list(within)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weight = F.lit(1) if weight is None else weight
+    counted = weight is None
+    weight = F.lit(1) if counted else weight
     keys = [F.col(w) for w in within] + list(order)
     placed = cut_lineage(
         df.withColumn("__w", weight.cast("double")).repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id())
@@ -94,7 +95,7 @@ def global_position(
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(before), F.lit(0.0))).drop("__t")
     numbered = placed.withColumn("__run", F.sum("__w").over(inside))
     out = numbered.join(offsets, ["__pid", *within]).withColumn(name, F.col("__run") + F.col("__off"))
-    if weight is not None:
+    if counted:
         out = out.withColumn(name, F.col(name).cast("bigint"))
     return out.drop("__w", "__pid", "__run", "__off")
 

@@ -292,7 +292,10 @@ def contexts_above(vectors: DataFrame, truth: DataFrame, floor: float) -> DataFr
 
 
 def class_coherence(candidates: DataFrame, vectors: DataFrame, truth: DataFrame, classes: DataFrame, floor: float = 0.7) -> DataFrame:
-    """Share of class-mates true for a similar context, counted per (context, class); -1 without mates."""
+    """Share of class-mates true for a similar context, counted per (context, class); -1 without mates.
+
+    Of an item in several classes the best share counts.
+    """
     known = truth.select(F.col("context").alias("neighbour"), "item")
     hits = contexts_above(vectors, truth, floor).join(known, "neighbour").select("context", "item").distinct()
     per_class = hits.join(classes, "item").groupBy("context", "cls").agg(F.count("*").alias("n_hit"))
@@ -307,6 +310,7 @@ def class_coherence(candidates: DataFrame, vectors: DataFrame, truth: DataFrame,
                 F.round((F.coalesce("n_hit", F.lit(0)) - F.coalesce("own", F.lit(0))) / (F.col("n_class") - 1), 6)
             ).alias("coherence"),
         )
+        .groupBy("context", "item").agg(F.max("coherence").alias("coherence"))
     )
 
 
@@ -318,14 +322,15 @@ def cross_category_boost(votes: DataFrame, truth: DataFrame, categories: DataFra
 
 
 def dominant_class_boost(votes: DataFrame, classes: DataFrame, top: int = 3, boost: float = 0.5) -> DataFrame:
-    """Boost items of the classes that are most frequent in the pool of the query."""
+    """Boost items of the classes that are most frequent in the pool of the query (any class of an item counts)."""
     labelled = votes.join(classes, "item", "left")
     pool = labelled.where(F.col("cls").isNotNull()).groupBy("context", "cls").agg(F.count("*").alias("n"))
     dominant = top_n(pool, ["context"], "n", "cls", top, "r").select("context", "cls", F.lit(1).alias("__d"))
-    factor = F.when(F.col("__d").isNull(), 1.0).otherwise(1.0 + boost)
-    return labelled.join(dominant, ["context", "cls"], "left").select(
-        "context", "item", F.round(F.col("score") * factor, 9).alias("score")
+    rows = labelled.join(dominant, ["context", "cls"], "left").groupBy("context", "item").agg(
+        F.max("score").alias("score"), F.max("__d").alias("__d")
     )
+    factor = F.when(F.col("__d").isNull(), 1.0).otherwise(1.0 + boost)
+    return rows.select("context", "item", F.round(F.col("score") * factor, 9).alias("score"))
 
 
 def _to_others(pairs: DataFrame, group: str, member: str) -> DataFrame:

@@ -3,28 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+def has_rows(spark: SparkSession, store: str) -> bool:
+    """Whether the folder is there, asked of the file system that it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def append_new_keys(incoming: DataFrame, store: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Append rows of ``incoming`` with unseen keys to the parquet store, one folder per batch.
 
-    A repeated batch overwrites its own folder and is compared only with the other batches, so
-    a restart after a lost driver leaves no duplicates.
+    A folder is named by the checkpoint and the batch. A repeated batch overwrites its own folder and is
+    compared with all others, so a restart after a lost driver leaves no duplicates, and a new
+    checkpoint on a store that exists neither erases rows nor adds known keys.
     """
     keys = list(keys)
     schema = incoming.schema
+    run = md5(checkpoint.encode()).hexdigest()[:12]
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         first = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else batch.distinct()
-        stored = spark.read.schema(schema).option("recursiveFileLookup", False).option("basePath", store).parquet(store) if number > 0 else None
-        if stored is not None:
-            first = first.join(stored.where(F.col("batch") != number).select(*keys) if "batch" in stored.columns else stored.select(*keys), keys, "left_anti")
-        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        own = f"{run}-{number}"
+        if has_rows(spark, store):
+            stored = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).option("basePath", store).parquet(store)
+            first = first.join(stored.where(F.col("batch") != own).select(*keys), keys, "left_anti")
+        first.write.mode("overwrite").parquet(f"{store}/batch={own}")
 
     return incoming.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -75,7 +75,6 @@ class Tables:
     def context_features(self) -> DataFrame:
         return (
             self._order_lines()
-            .where(F.col("o_orderpriority") == "1-URGENT")
             .select(F.col("o_custkey").alias("context"), F.col("l_suppkey").alias("feature"))
             .distinct()
         )
@@ -88,7 +87,7 @@ class Tables:
         from pyspark.sql import Window
 
         nation = self.raw("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-        s = self.raw("supplier").join(F.broadcast(nation), "s_nationkey")
+        s = self.raw("supplier").join(nation, "s_nationkey")
         a = s.select(
             F.col("s_suppkey").alias("a"),
             F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).alias("b"),
