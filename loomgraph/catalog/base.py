@@ -35,6 +35,19 @@ def view(name: str, sql: str, recursive: bool = False) -> None:
         RECURSIVE.add(name)
 
 
+def restated(view_name: str, changed: dict[str, str], prefix: str) -> str:
+    """Define again, under ``prefix``, every view that ``view_name`` is built from and that reads a changed view."""
+    names = dict(changed)
+    for name, text in list(VIEWS.items()):
+        new = re.sub(r"\b\w+_v\b|\bmoved_\d+v\b", lambda m: names.get(m[0], m[0]), text)
+        if name not in changed and name not in changed.values() and new != text:
+            VIEWS[prefix + name] = new
+            names[name] = prefix + name
+        if name == view_name:
+            break
+    return names[view_name]
+
+
 def full_sql(body: str) -> str:
     """Prefix a body with the shared views it uses, in order of definition."""
     needed: set[str] = set()

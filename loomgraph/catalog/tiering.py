@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.catalog.base import entry, view
+from loomgraph.catalog.base import VIEWS, entry, restated, view
 from loomgraph.catalog.similarity import top_items, translation
 from loomgraph.catalog.words import CATEGORY_TIERS, RESCUE_SQL, TIER_CASE, TIER_HITS, TYPES, rescue_rules, words
+from loomgraph.operators import aggregate as A
 from loomgraph.operators import ranking as W
 from loomgraph.operators import rules as P
+from loomgraph.operators import similar as S
 from loomgraph.plans import tiers as TI
 from loomgraph.plans import predict as PR
 
@@ -350,14 +352,17 @@ view("injected_v", """
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY list_position(['GOLDEN', 'HIGH', 'MEDIUM', 'LOW', 'FILTER'], tier), score DESC, item) AS rank FROM joint) WHERE rank <= 30""")
 
 
+def household_members(t):
+    return t.vectors().select("context").join(t.categories().where("category = 'household'"), "context").select("context").withColumn(
+        "item_name", F.explode(F.array(F.lit("new gear"), F.lit("new bolt")))).join(t.items().select("item", F.col("name").alias("item_name")), "item_name")
+
+
 @entry("p23_class_injection", "SELECT context, item, score, tier, injected, rank FROM injected_v")
 def _(t):
     df = tiered(t)
-    members = t.vectors().select("context").join(t.categories().where("category = 'household'"), "context").select("context").withColumn(
-        "item_name", F.explode(F.array(F.lit("new gear"), F.lit("new bolt")))).join(t.items().select("item", F.col("name").alias("item_name")), "item_name")
     best = df.groupBy("context").agg(F.max("score").alias("best_score"))
     freq = t.truth().groupBy("item").agg(F.count("*").alias("train_frequency"))
-    return P.inject_class_members(df.where("tier <> 'FILTER'"), members, freq, best, 30)
+    return P.inject_class_members(df.where("tier <> 'FILTER'"), household_members(t), freq, best, 30)
 
 
 LEVELS = [("furniture", "seat", 3, "furniture nation_1"), ("furniture", "seat", 2, "furniture nation_2"), ("furniture", "seat", 1, "furniture"), ("machinery", "engine", 2, "machinery nation_1"), ("machinery", "engine", 1, "machinery")]
@@ -422,6 +427,40 @@ def _(t):
     return PR.of_contexts(final(t), "household nation_4").withColumn("norm_score", F.round("norm_score", 6)).select(*R_COLS)
 
 
+view("boosted_top_v", VIEWS["top_v"].replace("vote_v", f"""({VIEWS['vote_v'].replace('near_v', 'boosted_near_v')})"""))
+view("plan_short_v", f"SELECT * FROM {restated('moved_7v', {'top_v': 'boosted_top_v'}, 'full_')} WHERE tier <> 'FILTER'")
+view("plan_injected_v", VIEWS["injected_v"].replace("short_v", "plan_short_v").replace("top_v", "boosted_top_v"))
+view("plan_named_v", """
+  SELECT j.*, c.name AS context_name, c.category, i.name AS item_name, CASE WHEN j.injected THEN 'class_injection' ELSE m.rule END AS rule FROM plan_injected_v j
+  JOIN contexts_v c USING (context) JOIN items_v i USING (item) LEFT JOIN plan_short_v m ON m.context = j.context AND m.item = j.item""")
+view("plan_broad_v", VIEWS["broad_v"].replace("enriched_v", "plan_named_v"))
+
+
+def full_prediction(t):
+    """R2 from boosted neighbours (K4), with class members injected (P23) before the broad-class check."""
+    near = S.nearest_contexts(t.vectors().join(t.categories(), "context"), t.truth(), 20, boosted=("furniture", "machinery"), boost=0.5)
+    top = t.keep("boosted_top", lambda: W.share_of_best(W.top_n(S.vote(near, t.truth()), ["context"], "score", "item", 30), ["context"], "score"))
+    df = t.keep("boosted_moved", lambda: moved(t, TI.tiered(enriched(t, top), words())))
+    best = top.groupBy("context").agg(F.max("score").alias("best_score"))
+    short = df.where("tier <> 'FILTER'")
+    out = P.inject_class_members(short, household_members(t), A.frequency(t.truth()), best, 30)
+    out = PR.named(out, t.contexts(), t.items()).join(short.select("context", "item", "rule"), ["context", "item"], "left")
+    out = P.broad_class_isolated(out.withColumn("rule", F.when(F.col("injected"), "class_injection").otherwise(F.col("rule"))), BROAD)
+    out = P.apply_moves(out, [P.Move(F.col("isolated") & F.col("tier").isin("HIGH", "MEDIUM"), "LOW", "broad_class_isolated")])
+    return out.withColumn("holdout_precision", PR.precision_lookup(F.col("category"), F.col("tier"), CATEGORY_PRECISION, PRECISION))
+
+
+FULL = ["context", "item", "item_name", "context_name", "rank", "score", "tier", "rule", "injected", "category", "holdout_precision"]
+
+
+@entry("r2_full_predict", f"""
+  SELECT {', '.join(FULL[:-1])}, {PREC_SQL} AS holdout_precision FROM (
+    SELECT f.* EXCLUDE (tier, rule), CASE WHEN b.isolated AND tier IN ('HIGH', 'MEDIUM') THEN 'LOW' ELSE tier END AS tier, CASE WHEN b.isolated AND tier IN ('HIGH', 'MEDIUM') THEN 'broad_class_isolated' ELSE rule END AS rule
+    FROM plan_named_v f JOIN plan_broad_v b ON b.context = f.context AND b.item = f.item)""")
+def _(t):
+    return full_prediction(t).select(*FULL)
+
+
 @entry("r3_query_by_item", """
   SELECT item, context, score, place FROM (SELECT item, context, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, context) AS place FROM final_v WHERE tier <> 'FILTER') WHERE place <= 10""")
 def _(t):
