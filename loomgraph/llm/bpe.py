@@ -25,7 +25,7 @@ from loomgraph.llm.common import pieces, texts
 
 NEVER = 1 << 40
 #: Words kept per Python worker; the memory is cleared when it is full and fills again.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Letters, numbers and white space of three alphabets: the named properties cut down to ASCII and Latin-1.
 CLASSES = {
     "ascii": {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "},

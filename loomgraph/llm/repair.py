@@ -43,12 +43,12 @@ class LibraryEncoder:
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter a byte
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(words)
-        plain = [w for w in new if alphabet(w) != "all" and (w[1:] if w[0] == " " else w).isalpha()]
-        rest = set(new).difference(plain)
+            new = words
+        plain = [w for w in new if (w.isascii() or alphabet(w) != "all") and w.lstrip(" ").isalpha()]
+        rest = new.difference(plain)
         for k in range(0, len(plain), 1 << 14):
             self._together(plain[k : k + (1 << 14)])
         for w, coded in zip(rest, self.tokenizer.encode_batch_fast(list(rest), add_special_tokens=False)):
@@ -71,15 +71,14 @@ class LibraryEncoder:
     def encode(self, batch: list[str]) -> list[bytes]:
         lists, seen = [], set()
         for text in batch:
-            found: list = []
-            for part, mark in parted(text, self.special):
-                if mark is None:
-                    found += SPACED(part)
-                else:
-                    found.append(mark)
+            if any(s in text for s in self.special):
+                found = [w for part, mark in parted(text, self.special) for w in (SPACED(part) if mark is None else [mark])]
+                seen.update(w for w in found if isinstance(w, str))
+            else:
+                found = SPACED(text)
+                seen.update(found)
             lists.append(found)
-            seen.update(found)
-        self.learn({w for w in seen if isinstance(w, str)})
+        self.learn(seen)
         self.known |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         return [b"".join(map(self.known.__getitem__, found)) for found in lists]
 
