@@ -363,6 +363,24 @@ def _(t):
     return G.random_walks(t.edges(), walks=2, steps=4)
 
 
+view("long_trail_v", """
+  SELECT node AS start, walk, 0 AS step, node FROM deg_v, (SELECT unnest(range(1, 11)) AS walk)
+  UNION ALL
+  SELECT t.start, t.walk, t.step + 1, n.neighbour FROM long_trail_v t JOIN deg_v d ON d.node = t.node
+  JOIN numbered_v n ON n.node = t.node AND n.number = (('0x' || substr(md5('42:' || t.start || ':' || t.walk || ':' || (t.step + 1)), 1, 8))::BIGINT % d.degree)
+  WHERE t.step < 80""", recursive=True)
+
+
+def long_trail(t):
+    """Ten walks of 80 steps from every node, written once for the queries that read them."""
+    return t.keep("long_trail", lambda: G.random_walks(t.edges(), walks=10, steps=80, cut_every=10))
+
+
+@entry("g22_walk_visits", "SELECT node, count(*) AS visits, count(DISTINCT start) AS starts, max(step) AS last_step FROM long_trail_v GROUP BY 1")
+def _(t):
+    return long_trail(t).groupBy("node").agg(F.count("*").alias("visits"), F.countDistinct("start").alias("starts"), F.max("step").alias("last_step"))
+
+
 @entry("g23_neighbour_mean", """
   SELECT context, pos, round(avg(x), 6) AS value FROM (
     SELECT t.context, unnest(i.vec) AS x, unnest(range(0, 64)) AS pos FROM truth_v t JOIN item_vectors_v i USING (item)) GROUP BY 1, 2""")
