@@ -204,7 +204,7 @@ def _score(order: int, prior: float):
     return run
 
 
-def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, prior: float = 100.0, block_chars: int = 1 << 25) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, prior: float = 100.0, block_chars: int = 1 << 24) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Counts are learned from the rows whose fold is not ``out``. A null or empty text is its end mark
