@@ -195,23 +195,21 @@ def random_walks(edges: DataFrame, walks: int = 10, steps: int = 80, seed: int =
     placed = global_position(adj, [F.col("neighbour")], ["node"], name="place")
     numbered = cut_lineage(placed.join(ahead, "neighbour").select("node", (F.col("place") - 1).alias("number"), "neighbour", "next_degree"))
     at = deg.select(F.col("node").alias("start"), "node", "degree").withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks))))
-    stretch = at.select("start", "walk", F.lit(0).alias("step"), "node")
-    written = []
+    trail = at.select("start", "walk", F.lit(0).alias("step"), "node")
+    at = at.withColumn("nodes", F.array().cast("array<string>"))
+    since = 0
     for step in range(1, steps + 1):
         pick = F.pmod(seeded_hash(seed, F.col("start"), F.col("walk"), F.lit(step)), F.col("degree"))
         at = (
             at.withColumn("number", pick.cast("bigint")).join(numbered, ["node", "number"])
-            .select("start", "walk", F.col("neighbour").alias("node"), F.col("next_degree").alias("degree"))
+            .select("start", "walk", F.col("neighbour").alias("node"), F.col("next_degree").alias("degree"), F.concat("nodes", F.array("neighbour")).alias("nodes"))
         )
-        if step % cut_every == 0:
-            at = cut_lineage(at)
-        stretch = stretch.unionByName(at.select("start", "walk", F.lit(step).alias("step"), "node"))
-        if step % cut_every == 0 or step == steps:
-            written.append(cut_lineage(stretch))  # each stretch of steps once
-            stretch = stretch.limit(0)
-    trail = written[0]
-    for part in written[1:]:
-        trail = trail.unionByName(part)
+        if step - since == cut_every or step == steps:
+            at = cut_lineage(at)  # each stretch of steps is walked and written once
+            trail = trail.unionByName(
+                at.select("start", "walk", F.posexplode("nodes").alias("step", "node")).withColumn("step", F.col("step") + since + 1)
+            )
+            at, since = at.withColumn("nodes", F.array().cast("array<string>")), step
     return trail
 
 
