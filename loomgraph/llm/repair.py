@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm.bpe import REMEMBERED, SPACED, alphabet, parted
+from loomgraph.llm.bpe import SPACED, alphabet, parted
 from loomgraph.llm.common import binaries, partitions, pieces, texts
 from loomgraph.session import new_path
 
+#: Words kept per Python worker; the memory is cleared when it is full and fills again.
+REMEMBERED = 1_000_000
 SHARD = (
     "part int, seq int, first_rule int, rules binary, lengths binary, symbols binary, "
     "doc_ids array<long>, symbol_ends array<long>, id_ends array<long>"
