@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and terms that give a protected value away.
 
-A value found by a pattern (an entity) is protected. How much a term near it discloses is the pointwise mutual
-information of the two over the corpus, as a share of the entity's own information:
-log(n_et N / (n_e n_t)) / log(N / n_e), with N documents, n_t of them holding the term, n_e
-occurrences of the entity and n_et of these with the term beside it. From a threshold on, and with enough
-surroundings that differ, the term is marked wherever it stands near that entity, and generalised or
-removed with it.
+A value found by a pattern (an entity) is protected. How much a term in its documents discloses is the pointwise
+mutual information of the two over the corpus, as a share of the entity's own information:
+log(n_et N / (n_e n_t)) / log(N / n_e), with N distinct texts, n_t of them holding the term, n_e the entity and n_et
+both. From a threshold on, and where the log-likelihood ratio of these counts rules out chance, the term is marked
+wherever it stands in a text that holds the entity, and generalised or removed with it. There is no least number of
+texts: of an entity that occurs once, terms that are rare enough disclose it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,7 @@ from loomgraph.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+_SLOTS = 1 << 24
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # inside a run of digits no later start matches where the first fails
@@ -38,14 +41,12 @@ SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 @dataclass(frozen=True)
 class Settings:
-    """words: reach of a surrounding on either side, within ``reach`` characters; support: least distinct surroundings
-    that an entity and a term share; threshold: least share of the entity's information; broadcast_terms:
-    up to so many candidate terms are counted by a broadcast set, more by a join."""
+    """threshold: least share of the entity's information; significance: least log-likelihood ratio of entity and term
+    (10.83: one in a thousand by chance); broadcast_terms: most common terms that are left aside before the join, and
+    up to so many groups of copies are broadcast, more are joined."""
 
-    words: int = 5
-    reach: int = 400
-    support: int = 2
     threshold: float = 0.8
+    significance: float = 10.83
     broadcast_terms: int = 200_000
 
 
@@ -86,29 +87,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], s: Settings) -> list[dict]:
-    """For each span its entity, a hash of its surrounding, and the whole words beside it that no span touches."""
-    out = []
-    for kind, start, end in spans:
-        low, high = max(0, start - s.reach), min(len(text), end + s.reach)
-        left = [m for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0][-s.words :]
-        right = [m for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text)][: s.words]
-        terms = [
-            {"term": m[0].lower(), "start": m.start(), "end": m.end()} for m in left + right
-            if len(m[0]) > 2 and not any(m.start() < e and b < m.end() for _, b, e in spans if e > low and b < high)
-        ]
-        value = text[start:end].lower() if kind == "email" else _NO_DIGIT.sub("" if kind != "ip" else ".", text[start:end])
-        around = "\n".join(t["term"] for t in terms)
-        out.append({"entity": f"{kind}:{value}", "around": xxhash.xxh3_64_intdigest(around.encode("utf-8", "surrogatepass")) - (1 << 63), "terms": terms})
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct protected values of a text."""
+    return sorted({
+        f"{kind}:{text[a:b].lower() if kind == 'email' else _NO_DIGIT.sub('' if kind != 'ip' else '.', text[a:b])}" for kind, a, b in spans
+    })
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[dict]]:
+    """All places of each word of the text, but of words that a span touches."""
+    out: dict[str, list[dict]] = {}
+    cuts = sorted((a, b) for _, a, b in spans)
+    at = reach = 0  # reach: end of the spans that begin before the word's end
+    for m in _WORD.finditer(text):
+        while at < len(cuts) and cuts[at][0] < m.end():
+            reach = max(reach, cuts[at][1])
+            at += 1
+        if m.end() - m.start() > 2 and reach <= m.start():
+            out.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
     return out
 
 
-def scanned(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, text_id, spans, near): base spans of every row and the surroundings of each."""
+def scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id, spans, entities, text): base spans of every row; the text only where there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term = pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-        near = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.int64()), ("terms", pa.list_(term))]))
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for part in pieces(batch):
@@ -117,69 +120,155 @@ def scanned(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["text_id"],
                      pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in spans], span),
-                     pa.array([surroundings(t, x, s) if x else [] for t, x in zip(found, spans)], near)],
-                    ["doc_id", "text_id", "spans", "near"],
+                     pa.array([entities(t, x) for t, x in zip(found, spans)], pa.list_(pa.string())),
+                     pa.array([t if x else None for t, x in zip(found, spans)], pa.string())],
+                    ["doc_id", "text_id", "spans", "entities", "text"],
                 )
 
     source = texts(docs).withColumn("text_id", F.xxhash64("text"))
     return source.mapInArrow(
-        run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_id long, spans {SPAN}, "
-        "near array<struct<entity:string,around:long,terms:array<struct<term:string,start:long,end:long>>>>",
+        run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_id long, spans {SPAN}, entities array<string>, text string"
     )
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(term, n_t): documents of the whole corpus that hold each of the terms.
+def places(found: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(text_id, entity, n_e, term, at): words of each distinct text that holds an entity, with their places; n_e is
+    the number of texts that hold the entity.
 
-    Tasks count their own documents first. The terms are broadcast if they are measured to be few;
-    else every word's partial count meets them in a join.
+    Left aside are only words that can't reach the threshold whatever the counts: as n_et <= n_e, that
+    needs n_t <= N^(1 - threshold) n_e^threshold, and the texts that hold an entity give n_t at least.
     """
-    few = terms.limit(s.broadcast_terms + 1).count() <= s.broadcast_terms
-    wanted = frozenset(r["term"] for r in terms.collect()) if few else None
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    once = cut_lineage(found.where("text is not null").select("text_id", "text", "spans", "entities").dropDuplicates(["text_id"]))
+    n = found.select("text_id").distinct().count()
+    slack = n ** (1 - s.threshold) * (1 + 1e-9)
+    each = once.select("text_id", F.explode("entities").alias("entity"))
+    sizes = each.groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = each.join(sizes, "entity").groupBy("text_id").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
+
+    def found_terms(part: pa.RecordBatch) -> Iterator[dict[str, list[dict]]]:
+        for text, spans in zip(part["text"].to_pylist(), part["spans"].to_pylist()):
+            yield terms_of(text, [(x["kind"], x["start"], x["end"]) for x in spans])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+        for batch in batches:
+            for part in pieces(batch):
+                for terms in found_terms(part):
+                    n.update(terms.keys())
+                if len(n) > 500_000:
+                    yield out()
+                    n.clear()
+        yield out()
+
+    least = cut_lineage(once.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    # a word of more than total / k texts is one of k at most
+    often = least.where(F.col("n") > max(slack, total / max(1, s.broadcast_terms)))
+    sent = found.sparkSession.sparkContext.broadcast({r["term"]: r["n"] for r in often.collect()})
+    threshold = s.threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        known = sent.value
+        for batch in batches:
+            for part in pieces(batch):
+                for text_id, held, terms in zip(part["text_id"].to_pylist(), part["held"].to_pylist(), found_terms(part)):
+                    for x in held:
+                        most = slack * x["n_e"] ** threshold
+                        kept = [t for t in terms if known.get(t, 0) <= most]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([text_id] * len(kept), pa.int64()), pa.array([x["entity"]] * len(kept), pa.string()),
+                             pa.array([x["n_e"]] * len(kept), pa.int64()), pa.array(kept, pa.string()), pa.array([terms[t] for t in kept], spot)],
+                            ["text_id", "entity", "n_e", "term", "at"],
+                        )
+
+    return once.join(held, "text_id").select("text_id", "text", "spans", "held").mapInArrow(
+        run, "text_id long, entity string, n_e long, term string, at array<struct<start:long,end:long>>"
+    )
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Which of the slots of term hashes are taken: a filter of fixed size that lets every one of the terms pass."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(_SLOTS))
+    taken = (
+        terms.select(F.floor(slot / 32).cast("int").alias("at"), F.pmod(slot, F.lit(32)).cast("int").alias("bit"))
+        .groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()  # 2^19 rows at most
+    )
+    out = np.zeros(_SLOTS // 32, np.uint32)
+    out[taken["at"].to_numpy()] = taken["bits"].to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, copies: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(term, n_t): distinct texts of the whole corpus that hold each of the terms, and of some other words.
+
+    Tasks count their own documents first; each of the ``times`` rows of a text in ``copies`` (text_id, times) counts
+    1 / times. Words outside a broadcast bitmap of the terms are left aside. Copies are broadcast if they are
+    measured to be few; else rows meet their number of copies in a join.
+    """
+    source = texts(docs).withColumn("text_id", F.xxhash64("text"))
+    if copies.limit(s.broadcast_terms + 1).count() <= s.broadcast_terms:
+        known = {r["text_id"]: r["times"] for r in copies.collect()}
+        source = source.select("text", "text_id", F.lit(1).cast("long").alias("times"))
+    else:
+        known = {}
+        source = source.join(copies, "text_id", "left").select("text", "text_id", F.coalesce("times", F.lit(1)).cast("long").alias("times"))
+    sent = docs.sparkSession.sparkContext.broadcast((_bitmap(terms), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only, count = sent.value, Counter()
+        (taken, known), count, shares = sent.value, Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*count, *shares], pa.string()), pa.array([*count.values(), *shares.values()], pa.float64())], ["term", "n"]
+            )
 
         for batch in batches:
             for part in pieces(batch):
-                for text in part["text"].to_pylist():
-                    held = set(_WORD.findall(text.lower()))
-                    count.update(held if only is None else held & only)
-                if len(count) > 500_000:
+                for text, text_id, times in zip(*(part[c].to_pylist() for c in ("text", "text_id", "times"))):
+                    held = list(set(map(str.lower, set(_WORD.findall(text)))))
+                    slots = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in held), np.uint64, len(held))
+                    held = list(compress(held, taken[slots & np.uint64(_SLOTS - 1)].tolist()))
+                    times = known.get(text_id, times)
+                    if times == 1:
+                        count.update(held)
+                    else:
+                        for term in held:
+                            shares[term] += 1 / times
+                if len(count) + len(shares) > 500_000:
                     yield out()
                     count.clear()
+                    shares.clear()
         yield out()
 
-    if few and not wanted:
-        return docs.sparkSession.createDataFrame([], "term string, n_t long")
-    counts = texts(docs).mapInArrow(run, "term string, n long")
-    if not few:
-        counts = counts.join(terms, "term", "left_semi")
-    return counts.groupBy("term").agg(F.sum("n").alias("n_t"))
+    return source.mapInArrow(run, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(entity, term, share) of the terms that give an entity away. Copies of a surrounding support a term once."""
-    near = (
-        found.select(F.explode("near").alias("x")).groupBy("x.entity", "x.around")
-        .agg(F.count("*").alias("times"), F.first("x.terms").alias("terms"))
-    )
-    pairs = cut_lineage(
-        near.select("entity", "times", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-        .groupBy("entity", "term").agg(F.sum("times").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= s.support)
-    )
-    sizes = near.groupBy("entity").agg(F.sum("times").alias("n_e"))
-    n = found.count()
-    counts = document_counts(docs, pairs.select("term").distinct(), s)
-    share = F.log(F.least("n_et", "n_t") * n / (F.col("n_e") * F.col("n_t"))) / F.log(n / F.col("n_e"))
-    return (
-        pairs.join(sizes, "entity").join(counts, "term").where(F.col("n_e") < n)
-        .select("entity", "term", share.alias("share")).where(F.col("share") >= s.threshold)
+def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(entity, term, share) of the terms that give an entity away. Copies of a text count once.
+
+    ``near`` is places() of ``found``, which is scanned() of ``docs``.
+    """
+    copies = cut_lineage(found.groupBy("text_id").agg(F.count("*").alias("times")))
+    n = copies.count()
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"))
+    counts = document_counts(docs, near.select("term").distinct(), copies.where("times > 1"), s)
+    counted = pairs.join(counts, "term").where(F.col("n_e") < n)
+    both, of_e, of_t = F.col("n_et"), F.col("n_e"), F.col("n_t")
+    share = F.log(both * F.lit(float(n)) / (of_e * of_t)) / F.log(n / of_e)
+
+    def part(cell: Column, row: Column, column: Column) -> Column:
+        return F.when(cell > 0, cell * F.log(cell * F.lit(float(n)) / (row * column))).otherwise(0.0)
+
+    chance = 2 * (
+        part(both, of_e, of_t) + part(of_e - both, of_e, n - of_t) + part(of_t - both, n - of_e, of_t)
+        + part(n - of_e - of_t + both, n - of_e, n - of_t)
     )
+    return counted.where((share >= s.threshold) & (chance >= s.significance)).select("entity", "term", share.alias("share"))
 
 
 def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -189,20 +278,19 @@ def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     kind "term" in order of start. A null text counts as empty and has none. Rows that repeat get
     the same spans each. text_id is a hash of the text.
     """
-    found = cut_lineage(scanned(docs, settings))
-    told = disclosing(docs, found, settings)
-    places = (
-        found.select("doc_id", "text_id", F.explode("near").alias("x"))
-        .select("doc_id", "text_id", "x.entity", F.explode("x.terms").alias("t"))
-        .select("doc_id", "text_id", "entity", "t.term", "t.start", "t.end")
-    )
+    found = cut_lineage(scanned(docs))
+    near = cut_lineage(places(found, settings))
+    told = disclosing(docs, found, near, settings)
     added = (
-        places.join(told.select("entity", "term"), ["entity", "term"])
-        .groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("added"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.transform("added", lambda x: F.struct(F.lit(TERM).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("added"))
+        near.join(told.select("entity", "term"), ["entity", "term"]).select("text_id", F.explode("at").alias("x"))
+        .groupBy("text_id").agg(F.sort_array(F.collect_set("x")).alias("x"))
+        .select("text_id", F.transform("x", lambda x: F.struct(F.lit(TERM).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("added"))
     )
-    return found.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text")), "left").select(
-        "doc_id", "text_id", F.col("spans").alias("base"), F.coalesce("added", F.array().cast(SPAN)).alias("added"),
+    none = F.array().cast(SPAN)
+    return (
+        found.where("text is not null").join(added, "text_id", "left")
+        .select("doc_id", "text_id", F.col("spans").alias("base"), F.coalesce("added", none).alias("added"))
+        .unionByName(found.where("text is null").select("doc_id", "text_id", F.col("spans").alias("base"), none.alias("added")))
     )
 
 

@@ -60,3 +60,16 @@ def test_disclosing_terms(spark):
     assert clean[1] == "on day 1 our [NAME] met [EMAIL] in town bbb" and clean[20] == text[20]
     by_join = pii.spans(docs, pii.Settings(broadcast_terms=0)).collect()
     assert sorted(map(tuple, by_join)) == sorted(map(tuple, found.values()))
+
+
+def test_disclosing_terms_anywhere_in_the_text(spark):
+    far = "and then there was more of it to say on that day " * 20
+    rows = [(0, f"Zorbatron wrote. {far} mail jo@x.org now. {far} Then Zorbatron left.")]  # one entity, once
+    rows += [(i, f"Quuxley {far} ask al@y.org for it") for i in range(1, 40)]  # always in the same wording
+    rows += [(i, f"{far} nothing {i}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in (pii.Settings(), pii.Settings(broadcast_terms=0)):
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs, settings).collect()}
+        assert "Zorbatron" not in clean[0] and clean[0].count("[NAME]") == 2 and far in clean[0]
+        assert clean[1].startswith("[NAME] and then") and far in clean[1]
+        assert clean[100] == dict(rows)[100]
