@@ -28,9 +28,11 @@ _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/])|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+WRAPPERS = frozenset("div section center table tbody tr td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and names (parts of class, id or role) of what surrounds an article.
+#: Elements and names (class, id or role, whole or as an end part) of what surrounds an article.
 FRAME_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 FRAME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay "
@@ -38,6 +40,10 @@ FRAME_NAMES = frozenset(
     "share sharing social related recommended widget toolbar pagination pager skip toc comment comments disqus reply replies respond feedback".split()
 )
 COMMENT_NAMES = frozenset("comment comments disqus reply replies respond feedback".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts before a name, and last parts of one, that tell how a wrapper is set, not what it holds.
+LACKS = frozenset("has no with without not is hide show".split())
+STATES = frozenset("on off open opened closed enabled disabled active inactive visible hidden none accepted dismissed".split())
 #: Frequent function words of the four languages.
 STOP = frozenset(
     "the of and to in is was that it for as with on by be are this from at or an a not but have he his they which you "
@@ -54,23 +60,38 @@ class Block:
     frame: bool
     article: int
     verdict: bool | None = None
+    listed: bool = False
+    links: int = 0
 
 
 class _Element:
-    __slots__ = ("tag", "frame", "article", "link")
+    """wrapper: the plain element whose name alone makes this a frame, which an article inside can lift."""
 
-    def __init__(self, tag: str, frame: bool, article: int, link: bool):
-        self.tag, self.frame, self.article, self.link = tag, frame, article, link
+    __slots__ = ("tag", "frame", "article", "link", "listed", "wrapper", "lifted")
+
+    def __init__(self, tag: str, frame: bool, article: int, link: bool, listed: bool = False, wrapper: "_Element | None" = None):
+        self.tag, self.frame, self.article, self.link, self.listed, self.wrapper, self.lifted = tag, frame, article, link, listed, wrapper, False
 
 
 def _frames(tag: str, token: str, inside: bool) -> bool:
-    """Whether an element starts a part that is not the article."""
+    """Whether an element starts a part that is not the article, by its tag or names.
+
+    A name counts whole or at either end of a class, id or role (comment-list, site-footer), but not in what tells how a
+    wrapper is set (has-sidebar, cookie-consent-off). A heading belongs to the text around it.
+    """
     if tag in ("html", "body", "main"):
         return False
     if tag in FRAME_TAGS or tag == "header" and not inside or _HIDDEN.search(token):
         return True
-    names = {w for m in _NAMES.finditer(token) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())} if "=" in token else ()
-    return bool(names) and not (COMMENT_NAMES if tag == "article" else FRAME_NAMES).isdisjoint(names)
+    if tag in HEADINGS or "=" not in token:
+        return False
+    wanted = COMMENT_NAMES if tag == "article" else FRAME_NAMES
+    for m in _NAMES.finditer(token):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [p for p in _PARTS.split(name) if p]
+            if parts and (parts[0] in wanted or parts[-1] in wanted) and parts[-1] not in STATES and LACKS.isdisjoint(parts):
+                return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
@@ -78,17 +99,18 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack = [_Element("", False, 0, False)]
     parts: list[str] = []
-    linked = articles = 0
+    linked = links = articles = 0
+    open_article = False
     begin = stack[0]
 
     def close():
-        nonlocal linked
+        nonlocal linked, links
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, begin.frame, begin.article))
+                out.append(Block(text, linked, begin.frame, begin.article, listed=begin.listed, links=links))
             parts.clear()
-        linked = 0
+        linked = links = 0
 
     def text(piece: str):
         nonlocal linked, begin
@@ -141,7 +163,21 @@ def blocks(html: str) -> list[Block]:
         if tag in ("article", "main") and not article:
             articles += 1
             article = articles
-        stack.append(_Element(tag, top.frame or tag not in INLINE and _frames(tag, token, article > 0), article, top.link or tag == "a"))
+        if tag == "a":
+            links += 1
+        own = tag not in INLINE and _frames(tag, token, article > 0)
+        element = _Element(tag, top.frame or own, article, top.link or tag == "a", top.listed or tag in ("ul", "ol", "dl", "menu"), top.wrapper)
+        if own and not top.frame and tag in WRAPPERS and not _HIDDEN.search(token) and not _frames("article", token, True):
+            element.wrapper = element
+        elif own:
+            element.wrapper = None
+        if tag in ("article", "main"):
+            # the first article on a page, and others beside it, stand in a layout wrapper, not in what its name says
+            if top.frame and not own and element.wrapper and (element.wrapper.lifted or not open_article):
+                element.wrapper.lifted = True
+                element.frame, element.wrapper = False, None
+            open_article |= not element.frame
+        stack.append(element)
     text(html[at:])
     close()
     return out
@@ -151,7 +187,7 @@ def judged(found: list[Block], short: int = 70, long: int = 200, links: float =
     """Set the verdict of every block (True: main text).
 
     First pass: parts around the article are out, and so is all that stands outside where the page marks an
-    article with text. Else link density over ``links`` is out; from ``long`` characters on, or in a marked article
+    article with text. Else link density over ``links`` is out, in a marked article only for lists of links; from ``long`` characters on, or in a marked article
     from ``short`` on, a block is in if its share of stop words is ``stop`` at least; other blocks stay
     open. Second pass: an open block is in if its nearest decided neighbours (of the same part of the page) are,
     if one of them is and the block isn't short or stands in a marked article, and if there are none.
@@ -162,7 +198,9 @@ def judged(found: list[Block], short: int = 70, long: int = 200, links: float =
             b.verdict = False
             continue
         n = len(b.text)
-        if b.linked > links * len(b.text.replace(" ", "")) or b.text.startswith("©"):
+        size = len(b.text.replace(" ", ""))
+        dense = b.linked > links * size and (not b.article or b.listed or b.links > 2 and b.linked > 0.9 * size)
+        if dense or b.text.startswith("©"):
             b.verdict = None if b.article and n < short else False
             continue
         words = _WORDS.findall(b.text.lower())

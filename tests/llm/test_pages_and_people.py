@@ -27,6 +27,28 @@ def test_an_unclosed_menu_ends_at_the_article():
     assert html_text.main_text(f"<nav><ul><li><a href=1>One</a><article><p>{PARA}</article>") == PARA
 
 
+def test_layout_names_are_no_frames():
+    for wrap in ('class="content has-sidebar"', 'id="page" class="no-comments"', 'class="wrapper cookie-consent-off"'):
+        assert html_text.main_text(f"<div {wrap}><p>{PARA} {PARA}</p></div>") == f"{PARA} {PARA}"
+    page = f'<article><h2 id="related-work">Related</h2><p>{PARA}</p><h2 id="social-impact">Impact</h2><p>{PARA}</p></article>'
+    assert html_text.main_text(page) == f"Related\n{PARA}\nImpact\n{PARA}"
+    for name in ("site-footer", "comment-list", "ad big", "sidebar-left"):
+        assert html_text.main_text(f'<p>{PARA} {PARA}</p><div class="{name}"><p>{PARA} {PARA}</p></div>') == f"{PARA} {PARA}"
+
+
+def test_an_article_lifts_the_name_of_its_wrapper():
+    assert html_text.main_text(f'<div class="widget"><article><p>{PARA}</p></article><article><p>{PARA}</p></article></div>') == f"{PARA}\n{PARA}"
+    page = f'<article><p>{PARA}</p></article><div class="related"><article><p>{PARA}</p></article></div>'
+    assert html_text.main_text(page) == PARA
+    assert html_text.main_text(f'<div id="comments"><article><p>{PARA}</p></article></div><article><p>Be.</p></article>') == "Be."
+
+
+def test_linked_paragraphs_of_an_article():
+    linked = f"Of this it was said <a href=x>{PARA}</a> and so on"
+    links = "<ul><li>" + f"<a href=x>{PARA}</a>" + "</ul>" + " | ".join(f"<a href={i}>Some other page {i} of it</a>" for i in range(9))
+    assert html_text.main_text(f"<article><p>{PARA}</p><p>{linked}</p>{links}</article>") == f"{PARA}\nOf this it was said {PARA} and so on"
+
+
 def naive(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
