@@ -1,14 +1,14 @@
-"""Log-probabilities of texts by a weighted backoff automaton over n-grams.
+"""Log-probabilities of texts by interpolated n-gram counts, as a weighted backoff automaton would give them.
 
-A history of up to order - 1 tokens is a state; an n-gram seen in training is an arc from it, with the smoothed
-log-probability as weight; any other token takes the failure arc to the next shorter history. With Dirichlet
-smoothing, P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), so a failure arc weighs m / (c(h) + m), every arc follows from
-counts, and the probabilities add up to one at every state without pruning.
+With Dirichlet smoothing, P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), every weight of such an automaton follows from
+counts, and the probabilities add up to one for every history without pruning. No automaton is built: there are no
+states, failure arcs or carried state. The counts of all orders are looked up at every position and interpolated
+from the shortest history to the longest, which gives the same numbers for this smoothing.
 
-The automaton grows with the corpus, so no task holds it whole. Documents are dealt into blocks of
+The counts grow with the corpus, so no task holds them whole. Documents are dealt into blocks of
 bounded size. A block sends the n-grams it has, once each, with its own training counts; the counts
 are added up by n-gram; a block gets back only totals that differ from its own. With these it has
-its part of the automaton and runs over each of its texts once. N-grams travel by slots of the range
+the counts of all n-grams of its texts. N-grams travel by slots of the range
 of their hashes, sorted and packed: many keys of one block in one row, in half the bytes of rows of
 their own.
 """
@@ -204,7 +204,7 @@ def _score(order: int, prior: float):
     return run
 
 
-def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, prior: float = 100.0, block_chars: int = 1 << 24) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior: float = 100.0, block_chars: int = 1 << 23) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Counts are learned from the rows whose fold is not ``out``. A null or empty text is its end mark

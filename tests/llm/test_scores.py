@@ -98,6 +98,14 @@ def test_probabilities_add_up():
     assert total == pytest.approx(1)
 
 
+def test_the_query_sees_more_than_the_word_before(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "x b d"] * 40) if not held_out(i, 5, 1)]
+    asked = [i for i in range(100, 200) if held_out(i, 5, 1)][:2]
+    docs = spark.createDataFrame(rows + list(zip(asked, ["a b c", "a b d"])), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in language_model.scored(docs).collect()}
+    assert score[asked[0]] > score[asked[1]] + 0.1
+
+
 def plain_tiles(doc, item, tile):
     """Greedy string tiling as it is defined: look for the longest free match again and again."""
     free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
