@@ -157,11 +157,12 @@ def _broadcast(items: DataFrame, tile: int):
     return lambda: Benchmark(sent.value, tile)
 
 
-def _joined(source: DataFrame, items: DataFrame, threshold: float, tile: int) -> DataFrame:
+def _joined(source: DataFrame, items: DataFrame, threshold: float, tile: int, name: str = "doc_id") -> DataFrame:
     """The same for a benchmark of any size: pairs that share a seed, tiled one by one.
 
     Pairs carry ids only; texts join them afterwards. Documents are told apart by a hash of their
-    text, so repeated ids and copies need no pairs of their own.
+    text, so repeated ids and copies need no pairs of their own. ``name`` is what rows are named by: doc_id, or
+    which (that hash).
     """
     named = source.withColumn("which", F.sha2("text", 256))
 
@@ -196,12 +197,12 @@ def _joined(source: DataFrame, items: DataFrame, threshold: float, tile: int) ->
         F.sort_array(F.collect_set(F.when(F.col("share") >= threshold, F.col("item_id")))).alias("item_ids"),
     )
     return named.join(best, "which", "left").select(
-        "doc_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
+        name, F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, tile: int = 5, broadcast_chars: int = 1 << 25) -> DataFrame:
-    """The rows of ``docs`` that cover no item, with all their columns."""
+    """The rows of ``docs`` that cover no item, with all their columns. Each row is judged by its own text."""
     items = _usable(benchmark)
     if _small(items, broadcast_chars):
         make = _broadcast(items, tile)
@@ -211,5 +212,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, tile: i
             return lambda batch: [known.covered(t, threshold)[0] < threshold for t in batch]
 
         return kept_rows(docs, keep)
-    leaks = coverage(docs, benchmark, threshold, tile, broadcast_chars).where("not kept").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_out"]), "left_anti")
+    source = docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    leaks = _joined(source, items, threshold, tile, "which").where(F.col("coverage") >= threshold).select(F.col("which").alias("_out")).distinct()
+    return docs.join(leaks, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == leaks["_out"], "left_anti")

@@ -153,3 +153,13 @@ def test_both_ways_agree(spark):
     docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
     a, b = (sorted(map(tuple, tiling.coverage(docs, items, broadcast_chars=n).collect())) for n in (1 << 25, 0))
     assert a == b and any(not r[3] for r in a)
+
+
+def test_both_ways_keep_the_same_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, item), (None, "clean"), (None, None), (3, item), (3, "clean too"), (4, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for size in (1 << 25, 0):
+        got = sorted((r[0] or 0, r[1] or "") for r in tiling.clean(docs, items, broadcast_chars=size).collect())
+        assert got == [(0, ""), (0, "clean"), (3, "clean too"), (4, "clean")]
