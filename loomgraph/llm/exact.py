@@ -6,20 +6,24 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import texts
 from loomgraph.session import cut_lineage
 
 
-def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text after each run of white space became one space.
+def _sha(text: Column) -> Column:
+    """SHA-256 (hex) of the text after each run of white space became one space.
 
     The pattern leaves single spaces alone, which are most runs and stay as they are.
     """
-    plain = F.regexp_replace("text", r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " ")
-    return texts(df, key, text).select("doc_id", F.unhex(F.sha2(plain, 256)).alias("digest"))
+    return F.sha2(F.regexp_replace(text, r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " "), 256)
+
+
+def digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, digest): _sha() of every row's text, in bytes."""
+    return texts(df, key, text).select("doc_id", F.unhex(_sha(F.col("text"))).alias("digest"))
 
 
 def _trim(counts: pd.Series, counters: int) -> pd.Series:
@@ -85,9 +89,17 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", counters: int
 
 
 def deduplicated(docs: DataFrame, counters: int = 256) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = groups(docs, counters=counters).where("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    """One row of ``docs`` of each group stays, with all its columns: one with the smallest id, or with a null id where
+    the group has no other."""
+    mine = groups(docs, counters=counters)
+    stay = (
+        mine.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        .groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_kept_rows"))
+    )
+    named = docs.withColumn("_sha", _sha(F.coalesce(F.col("text"), F.lit(""))))
+    found = named.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
+    # only rows that repeat id and text are dealt once more
+    return found.where("_kept_rows = 1").unionByName(found.where("_kept_rows > 1").dropDuplicates(["_sha"])).select(*docs.columns)
 
 
 SQL = r"""

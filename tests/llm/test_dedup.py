@@ -38,6 +38,14 @@ def test_exact_groups(spark):
         assert got == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b"), (1, "a  b"), (2, "a b"), (2, "c"), (None, "a b"), (None, "d"), (None, "d"), (3, "e"), (1, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for counters in (1, 256):
+        got = sorted((r[0] or 0, " ".join(r[1].split())) for r in exact.deduplicated(docs, counters).collect())
+        assert got == [(0, "d"), (1, "a b"), (1, "e"), (2, "c")]
+
+
 def test_frequent_digests_are_not_missed(spark):
     rng = random.Random(3)
     rows = [(bytes([min(rng.randrange(1, 40), rng.randrange(1, 40))] * 4),) for _ in range(3000)]
