@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact, html_text, language_model, pii, quality, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, codes, conversation, exact, html_text, language_model, pii, quality, repair, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,13 @@ def op10(spark, docs, folder):
         "doc_id", *(pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"),
     )
+
+
+@entry("op11_conversation_repair", table="conversations", sql=conversation.SQL)
+def op11(spark, rows, folder):
+    return conversation.report(conversation.damaged(rows))
+
+
+@entry("op12_vector_codes", table="embeddings", sql=codes.SQL)
+def op12(spark, rows, folder):
+    return codes.compressed(rows)
