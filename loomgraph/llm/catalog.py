@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, codes, conversation, exact, html_text, language_model, pii, quality, repair, simhash, tiling, toxicity
+from loomgraph.llm import bpe, codes, conversation, exact, html_text, language_model, pii, quality, repair, simhash, suffixes, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op11(spark, rows, folder):
 @entry("op12_vector_codes", table="embeddings", sql=codes.SQL)
 def op12(spark, rows, folder):
     return codes.compressed(rows)
+
+
+@entry("op13_suffix_dedup")
+def op13(spark, docs, folder):
+    return suffixes.cleaned(docs, body=False).drop("kept")
