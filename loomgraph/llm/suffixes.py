@@ -42,7 +42,7 @@ from loomgraph.session import cut_lineage
 
 LENGTH, GRAM, STEP = 200, 32, 25
 WINDOW = LENGTH - GRAM + 1  # starts that can share an anchor
-BLOCK, SLOT = 1 << 23, 1 << 24  # bytes of text in a block, and for each slot
+BLOCK, SLOT = 1 << 22, 1 << 22  # bytes of text in a block, and for each slot
 #: Different segments of one group that are merged in one task; a larger group is divided.
 GROUP = 1 << 15
 #: A gram with more than this share of all entries is found before the slots meet.
@@ -99,7 +99,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 def _anchors(data: np.ndarray, n: int) -> np.ndarray:
     """For each of the first n places the leftmost one of the WINDOW places from there on with the least hash."""
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     for at in range(0, n, _CHUNK):
         count = min(_CHUNK, n - at)
         h = _grams(data[at : at + count + WINDOW + GRAM - 2])
@@ -109,7 +109,7 @@ def _anchors(data: np.ndarray, n: int) -> np.ndarray:
             least = np.minimum(least[: len(least) - k], least[k:])
             k *= 2
         least = np.minimum(least[: len(least) - (WINDOW - k)], least[WINDOW - k :])
-        out[at : at + count] = at + (least[:count] & _U((1 << 24) - 1)).astype(np.int64)
+        out[at : at + count] = at + (least[:count] & _U((1 << 24) - 1)).astype(np.int32)
     return out
 
 
@@ -392,7 +392,7 @@ def _back(rows: np.ndarray, part: np.ndarray, strings: np.ndarray) -> tuple[np.n
     n = len(rows)
     letter = (rows.astype(np.int64) - 1) & 255  # ends come last
     by = np.sort(part << 40 | letter << 32 | np.arange(n))
-    one = np.full(n + 1, n, np.int64)
+    one = np.full(n + 1, n, np.int32)
     at = by & 0xFFFFFFFF
     to = np.arange(n) + strings[part]
     keep = rows[at] > 0
@@ -419,22 +419,22 @@ def interleaved(rows: np.ndarray, part: np.ndarray, strings: np.ndarray, group:
     """
     n = len(rows)
     one, back, name = _back(rows, part, strings)
-    of = group[part]
+    of = group[part].astype(np.int32)
     mixed = (name[:n] ^ (name[:n] >> _U(29))) * _U(0xBF58476D1CE4E5B9) + of.astype(_U) * _U(0x9E3779B97F4A7C15)
     order = np.argsort(mixed)
-    symbol = np.empty(n, np.int64)
+    symbol = np.empty(n, np.int32)
     symbol[order] = np.cumsum(np.r_[False, np.diff(mixed[order]) != 0]) if n else 0
-    z, bucket = np.arange(n), of
+    z, bucket = np.arange(n, dtype=np.int32), of
     for _ in range(LENGTH // STEP):
         far = back[z] < n
         z, bucket = z[far], bucket[far]
         if not len(z):
             break
-        by = np.sort(symbol[z] << 32 | np.arange(len(z)))
+        by = np.sort(symbol[z].astype(np.int64) << 32 | np.arange(len(z)))
         perm = by & 0xFFFFFFFF
         s, old = by >> 32, bucket[perm]
         new = np.r_[True, (s[1:] != s[:-1]) | (old[1:] != old[:-1])]
-        bucket = np.cumsum(new) - 1
+        bucket = np.cumsum(new, dtype=np.int32) - 1
         stay = np.bincount(bucket)[bucket] > 1
         z, bucket = back[z[perm]][stay], bucket[stay]
     repeated = np.zeros(n + 1, bool)
