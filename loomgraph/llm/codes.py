@@ -25,6 +25,7 @@ SCALE = 1024
 BOUND = 1 << 26
 _ROWS = 4096
 _PAIRS = 1 << 20
+_EXACT = 1 << 20  # products of integers under this size add up exactly in doubles
 
 
 class Slices:
@@ -44,24 +45,34 @@ class Slices:
         # half the median distance from an entry to the nearest other one
         gaps = [self._gap(i) for i in range(n)] if n > 1 else [0]
         self.radius = max(1, int(np.sqrt(float(np.median(gaps))) / 2))
+        self.floats, self.square = self.entries.astype(np.float64), (self.entries**2).sum(axis=1)
 
     def _gap(self, i: int) -> int:
         away = ((np.delete(self.entries, i, 0) - self.entries[i]) ** 2).sum(axis=1)
         return int(away.min())
 
-    def box(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, entry) of all entries whose every coordinate is within the row's radius of it, by row, then entry."""
+    def box(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """A row of booleans for each row of x: the entries whose every coordinate is within the row's radius of it."""
         mask = np.full((len(x), self.words), np.iinfo(np.uint64).max, np.uint64)
         for j, (values, prefix) in enumerate(zip(self.sorted, self.prefix)):
             low = np.searchsorted(values, x[:, j] - radius, "left")
             high = np.searchsorted(values, x[:, j] + radius, "right")
             mask &= prefix[high] ^ prefix[low]
         bits = np.unpackbits(mask.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little")
-        return np.nonzero(bits[:, : len(self.entries)])
+        return bits[:, : len(self.entries)].view(bool)
 
     def _best(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry, squared distance) of the nearest in each box, ties to the lower entry; -1 where a box is empty."""
-        row, entry = self.box(x, radius)
+        inside = self.box(x, radius)
+        if inside.mean() > 1 / 16 and np.abs(x).max() < _EXACT and np.abs(self.entries).max() < _EXACT:
+            # boxes of many entries: their distances by one matrix product, exact in doubles at this size
+            away = (x**2).sum(axis=1)[:, None] + self.square - 2 * (x.astype(np.float64) @ self.floats.T).astype(np.int64)
+            away[~inside] = np.iinfo(np.int64).max
+            best = away.argmin(axis=1)
+            error = away[np.arange(len(x)), best]
+            found = inside.any(axis=1)
+            return np.where(found, best, -1), np.where(found, error, 0)
+        row, entry = np.nonzero(inside)
         away = np.empty(len(row), np.int64)
         for k in range(0, len(row), _PAIRS):
             gap = x[row[k : k + _PAIRS]] - self.entries[entry[k : k + _PAIRS]]
