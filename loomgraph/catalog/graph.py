@@ -257,7 +257,7 @@ def _(t):
   WITH bridge AS (SELECT v.context, v.item, count(DISTINCT i.feature) AS n_bridge FROM top_v v JOIN item_features_v i ON i.item = v.item
                   JOIN feature_groups_v f ON f.feature = i.feature JOIN context_groups_v c ON c.context = v.context AND c.feature = f.grp GROUP BY 1, 2)
   SELECT s.context, s.item, CASE WHEN s.n_shared > 0 THEN 'DIRECT' ELSE 'INDIRECT' END AS mechanism, s.n_shared AS n_direct,
-    g.n_shared AS n_groups, g.shared AS groups, coalesce(b.n_bridge, 0) AS n_bridge,
+    g.n_shared AS n_groups, array_to_string(string_split(g.shared, ',')[1:20], ',') AS groups, coalesce(b.n_bridge, 0) AS n_bridge,
     CASE WHEN s.n_shared > 0 THEN 'item ' || s.item || ' directly modulates ' || s.n_shared || ' features'
          WHEN coalesce(b.n_bridge, 0) > 0 THEN 'item ' || s.item || ' reaches ' || g.n_shared || ' shared groups through ' || b.n_bridge || ' features'
          ELSE 'mechanism unclear' END AS hypothesis

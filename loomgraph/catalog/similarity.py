@@ -356,8 +356,9 @@ def _(t):
 
 view("similarity_mean_v", """
   SELECT context, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY score DESC, item) AS rank FROM (
-    SELECT n.context, t.item, round(avg(similarity), 6) AS score FROM set_near_v n JOIN truth_v t ON t.context = n.neighbour
-    GROUP BY 1, 2)) WHERE rank <= 30""")
+    SELECT context, item, ((2 * s + n - (2 * s + n) % (2 * n)) // (2 * n)) / 1e6 AS score FROM (
+      SELECT n.context, t.item, sum(round(similarity * 1e6)::BIGINT)::BIGINT AS s, count(*) AS n FROM set_near_v n JOIN truth_v t ON t.context = n.neighbour
+      GROUP BY 1, 2))) WHERE rank <= 30""")
 
 
 @entry("k22_similarity_transfer_merged", """

@@ -222,9 +222,17 @@ def class_transfer(neighbours: DataFrame, truth: DataFrame, classes: DataFrame,
 
 
 def similarity_mean(similar: DataFrame, truth: DataFrame, n: int = 30) -> DataFrame:
-    """Mean similarity of the similar contexts an item is true for."""
+    """Mean similarity of the similar contexts an item is true for.
+
+    Similarities have six decimals: they are summed as whole millionths and the mean is rounded half up
+    in whole numbers, so the order of the sum doesn't matter.
+    """
     known = truth.select(F.col("context").alias("neighbour"), "item")
-    scored = similar.join(known, "neighbour").groupBy("context", "item").agg(F.round(F.avg("similarity"), 6).alias("score"))
+    scored = (
+        similar.join(known, "neighbour").groupBy("context", "item")
+        .agg(F.sum(F.round(F.col("similarity") * 1e6).cast("bigint")).alias("s"), F.count("*").alias("n"))
+        .select("context", "item", (F.expr("(2 * s + n - pmod(2 * s + n, 2 * n)) div (2 * n)") / 1e6).alias("score"))
+    )
     return top_n(scored, ["context"], "score", "item", n)
 
 
