@@ -141,8 +141,11 @@ def _(t):
     r = F.array(*[F.lit(0.1)] * 64)
     c = t.vectors().select("context", V.minus(V.doubles(F.col("vec")), r).alias("v"))
     i = t.item_vectors().select("item", V.doubles(F.col("vec")).alias("iv"))
-    q = t.truth().join(c, "context").join(i, "item").select(F.concat_ws(":", "context", "item").alias("id"), F.col("v").alias("vec"), F.round(-V.norm(V.minus(F.col("v"), F.col("iv"))), 6).alias("cut"))
-    rank = count_better(q, i.select(F.col("item").cast("string").alias("id"), F.col("iv").alias("vec"))).withColumn("rank", F.col("better") + 1)
+    cuts = t.truth().join(c, "context").join(i, "item").select("context", "item", F.round(-V.norm(V.minus(F.col("v"), F.col("iv"))), 6).alias("cut"))
+    asked = cuts.groupBy("context").agg(F.collect_set("cut").alias("cuts"))  # one query row per context with its cuts
+    q = asked.join(c, "context").select(F.col("context").alias("id"), F.col("v").alias("vec"), "cuts")
+    found = count_better(q, i.select(F.col("item").alias("id"), F.col("iv").alias("vec"))).withColumnRenamed("id", "context")
+    rank = cuts.join(found, ["context", "cut"]).withColumn("rank", F.col("better") + 1)
     at = lambda k: F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"hits_{k}")
     return rank.agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), at(1), at(3), at(10))
 

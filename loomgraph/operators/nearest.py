@@ -116,54 +116,31 @@ def _merge(parts: DataFrame, by: Sequence[str], k: int, names: tuple[str, str, s
     )
 
 
-def nearest_vectors(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    metric: str = "cosine",
-    by: Sequence[str] = (),
-    exclude_self: bool = False,
-    boosted: Sequence[str] = (),
-    boost: float = 0.5,
-    floor: float | None = None,
-    digits: int = 6,
-    names: tuple[str, str, str] = ("context", "neighbour", "similarity"),
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """K1 + K2 (+ K4): the k most similar corpus rows of every query.
+def _vector_kernel(by, metric: str, k: int, digits: int, exclude_self: bool, floor: float | None, boosted, boost: float, draws: int = 0):
+    """Task of one cell: the k best corpus rows of each query row, per draw where ``draws`` are given.
 
-    ``queries`` and ``corpus`` hold ``id``, ``vec`` (array<float|double>), the columns of
-    ``by`` (only equal groups meet) and, for a category boost, ``category``.  Scores are
-    rounded to ``digits`` before the cut; equal scores go to the lower id.
+    With draws a corpus row holds a bit mask ``draws`` of those that it takes part in, and a result row the
+    mask of those in which it is among the k best.
     """
-    by = list(by)
-    extra = ["category"] if boosted else []
-    queries = queries.select("id", "vec", *by, *extra)
-    corpus = _fresh(corpus.select("id", "vec", *by, *extra))
-    left, right = _placed(queries, corpus, by, block_rows)
-    types = {f.name: f.dataType.simpleString() for f in queries.schema}
-    out = ", ".join([f"{b} {types[b]}" for b in by] + [f"q_id {types['id']}", f"c_id {types['id']}", "score double"])
-    boosted = list(boosted)
 
     def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
-        schema_names = [*by, "q_id", "c_id", "score"]
+        schema_names = [*by, "q_id", "c_id", "score"] + ["draws"] * bool(draws)
         if ql.num_rows == 0 or cl.num_rows == 0:
-            arrays = [ql.column(b).slice(0, 0) for b in by] + [
-                ql.column("id").slice(0, 0), ql.column("id").slice(0, 0), pa.array([], pa.float64())
-            ]
-            return pa.table(arrays, names=schema_names)
+            arrays = [ql.column(b).slice(0, 0) for b in by] + [ql.column("id").slice(0, 0), cl.column("id").slice(0, 0), pa.array([], pa.float64())]
+            return pa.table(arrays + [pa.array([], pa.int64())] * bool(draws), names=schema_names)
         order = pa.compute.sort_indices(cl.column("id"))
         cl = cl.take(order)
         qm, cm = _matrix(ql.column("vec"), ql.num_rows), _matrix(cl.column("vec"), cl.num_rows)
         if metric == "cosine":
             qm, cm = _unit(qm), _unit(cm)
         q_ids, c_ids = _numpy(ql, "id"), _numpy(cl, "id")
+        takes = [(_numpy(cl, "draws") >> d & 1).astype(bool) for d in range(draws)]
         if boosted:
             q_cat = np.asarray(ql.column("category").to_pylist(), dtype=object)
             c_cat = np.asarray(cl.column("category").to_pylist(), dtype=object)
             is_boosted = np.isin(q_cat.astype(str), boosted)
         step = max(1, TILE_CELLS // max(1, len(c_ids)))
-        found_q, found_c, found_s = [], [], []
+        found_q, found_c, found_s, found_d = [], [], [], []
         for lo in range(0, len(q_ids), step):
             rows = slice(lo, lo + step)
             scores = _compare(metric, qm[rows], cm)
@@ -173,7 +150,11 @@ def nearest_vectors(
             scores = np.round(scores, digits) + 0.0
             if exclude_self:
                 scores[q_ids[rows][:, None] == c_ids[None, :]] = -np.inf
-            r, c = _best_in_tile(scores, k, floor)
+            if draws:
+                r, c, mask = _best_by_draw(scores, k, takes)
+                found_d.append(mask)
+            else:
+                r, c = _best_in_tile(scores, k, floor)
             found_q.append(r + lo)
             found_c.append(c)
             found_s.append(scores[r, c])
@@ -181,13 +162,106 @@ def nearest_vectors(
         arrays = [ql.column(b).take(pa.array(np.zeros(len(r), dtype=np.int64))) for b in by]
         arrays += [ql.column("id").take(pa.array(r)), cl.column("id").take(pa.array(c))]
         arrays.append(pa.array(np.concatenate(found_s), pa.float64()))
-        return pa.table(arrays, names=schema_names)
+        return pa.table(arrays + ([pa.array(np.concatenate(found_d), pa.int64())] if draws else []), names=schema_names)
+
+    return kernel
+
+
+def _best_by_draw(scores: np.ndarray, k: int, takes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, mask of draws): the k best per row among the columns of each draw, ties to the lower column.
+
+    Rows are sorted once, as far down as every draw has k columns; the few rows that need more are sorted whole.
+    """
+    n = scores.shape[1]
+    least = min((t.mean() for t in takes), default=1.0)
+    ahead = min(n, int(2 * k / max(least, 1e-9)) + 16)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    open_ = np.arange(len(scores))
+    while len(open_):
+        part = scores[open_]
+        if ahead < n:
+            place = np.sort(np.argpartition(-part, ahead, axis=1)[:, :ahead], axis=1)
+            cut = np.partition(-part, ahead, axis=1)[:, ahead : ahead + 1]  # the best score that is left out
+            best = np.take_along_axis(part, place, 1)
+        else:
+            place, best, cut = np.broadcast_to(np.arange(n), part.shape), part, np.inf
+        order = np.argsort(-best, axis=1, kind="stable")
+        best, place = np.take_along_axis(best, order, 1), np.take_along_axis(place, order, 1)
+        live = (best > -np.inf) & (-best < cut)  # ties with what is left out are undecided
+        masks = np.zeros(order.shape, np.int64)
+        whole = np.ones(len(open_), bool)
+        for d, take in enumerate(takes):
+            mine = take[place] & live
+            count = np.cumsum(mine, axis=1)
+            masks |= (mine & (count <= k)).astype(np.int64) << d
+            whole &= count[:, -1] >= min(k, int(take.sum()))
+        if ahead == n:
+            whole[:] = True
+        r, c = np.nonzero((masks > 0) & whole[:, None])
+        out.append((open_[r], place[r, c], masks[r, c]))
+        open_, ahead = open_[~whole], n
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def nearest_vectors(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    metric: str = "cosine",
+    by: Sequence[str] = (),
+    exclude_self: bool = False,
+    boosted: Sequence[str] = (),
+    boost: float = 0.5,
+    floor: float | None = None,
+    digits: int = 6,
+    names: tuple[str, str, str] = ("context", "neighbour", "similarity"),
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """K1 + K2 (+ K4): the k most similar corpus rows of every query.
 
+    ``queries`` and ``corpus`` hold ``id``, ``vec`` (array<float|double>), the columns of
+    ``by`` (only equal groups meet) and, for a category boost, ``category``.  Scores are
+    rounded to ``digits`` before the cut; equal scores go to the lower id.  Every pair is compared;
+    nearest_pruned() leaves out blocks that can hold none of the best.
+    """
+    by, boosted = list(by), list(boosted)
+    extra = ["category"] if boosted else []
+    queries = queries.select("id", "vec", *by, *extra)
+    corpus = _fresh(corpus.select("id", "vec", *by, *extra))
+    left, right = _placed(queries, corpus, by, block_rows)
     keys = [*by, "q_block", "c_block"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, out)
+    kernel = _vector_kernel(by, metric, k, digits, exclude_self, floor, boosted, boost)
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, _result(queries, corpus, by))
     return _merge(parts, by, k, names)
 
 
+def _result(queries: DataFrame, corpus: DataFrame, by: Sequence[str], draws: int = 0) -> str:
+    q, c = ({f.name: f.dataType.simpleString() for f in df.schema} for df in (queries, corpus))
+    return ", ".join([f"{b} {q[b]}" for b in by] + [f"q_id {q['id']}", f"c_id {c['id']}", "score double"] + ["draws bigint"] * bool(draws))
+
+
+def nearest_by_draw(
+    queries: DataFrame, corpus: DataFrame, k: int, draws: int, metric: str = "cosine", exclude_self: bool = False, digits: int = 6, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The k best corpus rows of every query in each of up to 63 draws, in one pass over the pairs.
+
+    ``corpus`` (id, vec, draws: bit mask of the draws that a row is in). Returns (q_id, c_id, score, draws):
+    one row per neighbour, with the mask of the draws in which it is among the k best.
+    """
+    queries, corpus = queries.select("id", "vec"), _fresh(corpus.select("id", "vec", "draws"))
+    left, right = _placed(queries, corpus, [], block_rows)
+    keys = ["q_block", "c_block"]
+    kernel = _vector_kernel([], metric, k, digits, exclude_self, None, [], 0.0, draws)
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, _result(queries, corpus, [], draws))
+    # cells of one query meet again: per draw the k best of their lists
+    single = parts.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).where(F.expr("shiftright(draws, bit) & 1") == 1)
+    w = Window.partitionBy("q_id", "bit").orderBy(F.col("score").desc(), "c_id")
+    return (
+        single.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        .groupBy("q_id", "c_id").agg(F.max("score").alias("score"), F.sum(F.expr("shiftleft(1L, bit)")).alias("draws"))
+    )
+
+
 def _shared_counts(q_row, first, width, c_row, n: int, m: int) -> np.ndarray:
     """n x m counts of shared features from the posting range of each query entry.
 
@@ -286,26 +360,32 @@ def nearest_sets(
 
 
 def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number of corpus rows that score above ``cut`` for each query row; no pair leaves a task.
+    """(id, cut, better): number of corpus rows that score above each cut of each query; no pair leaves a task.
 
-    ``queries`` (id, vec, cut), ``corpus`` (id, vec); ids of the queries must be unique.
+    ``queries`` (id, vec, cuts: array), ``corpus`` (id, vec); ids of the queries must be unique. A query row is
+    scored once for all its cuts, which are found in the sorted scores.
     """
-    left, right = _placed(queries.select("id", "vec", "cut"), _fresh(corpus.select("id", "vec")), [], block_rows)
+    left, right = _placed(queries.select("id", "vec", "cuts"), _fresh(corpus.select("id", "vec")), [], block_rows)
     id_type = {f.name: f.dataType.simpleString() for f in queries.schema}["id"]
 
     def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
-        better = np.zeros(ql.num_rows, dtype=np.int64)
+        cuts = ql.column("cuts").to_pylist()
+        owner = np.repeat(np.arange(ql.num_rows), [len(c) for c in cuts])
+        flat = np.array([x for c in cuts for x in c], np.float64)
+        better = np.zeros(len(flat), dtype=np.int64)
         if ql.num_rows and cl.num_rows:
             qm, cm = _matrix(ql.column("vec"), ql.num_rows), _matrix(cl.column("vec"), cl.num_rows)
             if metric == "cosine":
                 qm, cm = _unit(qm), _unit(cm)
-            cut = _numpy(ql, "cut")
             step = max(1, TILE_CELLS // cl.num_rows)
+            first = np.searchsorted(owner, np.arange(ql.num_rows + 1))
             for lo in range(0, ql.num_rows, step):
-                scores = np.round(_compare(metric, qm[lo : lo + step], cm), digits) + 0.0
-                better[lo : lo + step] = (scores > cut[lo : lo + step, None]).sum(axis=1)
-        return pa.table([ql.column("id"), pa.array(better)], names=["id", "better"])
+                scores = np.sort(np.round(_compare(metric, qm[lo : lo + step], cm), digits) + 0.0, axis=1)
+                for row, line in enumerate(scores, lo):
+                    a, b = first[row], first[row + 1]
+                    better[a:b] = len(line) - np.searchsorted(line, flat[a:b], "right")
+        return pa.table([ql.column("id").take(pa.array(owner)), pa.array(flat), pa.array(better)], names=["id", "cut", "better"])
 
     keys = ["q_block", "c_block"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, f"id {id_type}, better bigint")
-    return parts.groupBy("id").agg(F.sum("better").alias("better"))
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, f"id {id_type}, cut double, better bigint")
+    return parts.groupBy("id", "cut").agg(F.sum("better").alias("better"))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
-from loomgraph.operators.nearest import nearest_vectors
+from loomgraph.operators.nearest import BLOCK_ROWS, nearest_by_draw, nearest_vectors
+from loomgraph.operators.pivots import nearest_pruned
 from loomgraph.operators.ranking import hash_position, top_n
+from loomgraph.session import cut_lineage
 
 
 def as_points(vectors: DataFrame, id_col: str = "context", *keep: str) -> DataFrame:
@@ -22,13 +24,17 @@ def training_vectors(vectors: DataFrame, truth: DataFrame) -> DataFrame:
     return vectors.join(truth.select("context").distinct(), "context", "left_semi")
 
 
-def nearest_contexts(vectors: DataFrame, truth: DataFrame, k: int = 20, exclude_self: bool = False, **kw) -> DataFrame:
-    """K2: the k training contexts closest to every context with a vector."""
+def nearest_contexts(vectors: DataFrame, truth: DataFrame, k: int = 20, exclude_self: bool = False, block_rows: int = BLOCK_ROWS, **kw) -> DataFrame:
+    """K2: the k training contexts closest to every context with a vector.
+
+    More vectors than one block holds go through the pivot index; the rows are the same.
+    """
     keep = ["category"] if kw.get("boosted") else []
-    return nearest_vectors(
-        as_points(vectors, "context", *keep), as_points(training_vectors(vectors, truth), "context", *keep),
-        k, exclude_self=exclude_self, **kw,
-    )
+    queries, corpus = as_points(vectors, "context", *keep), as_points(training_vectors(vectors, truth), "context", *keep)
+    if kw.get("floor") is None and vectors.count() > block_rows:
+        kw.pop("floor", None)
+        return nearest_pruned(queries, corpus, k, exclude_self=exclude_self, block_rows=block_rows, **kw)
+    return nearest_vectors(queries, corpus, k, exclude_self=exclude_self, **kw)
 
 
 def vote(neighbours: DataFrame, truth: DataFrame, by: Sequence[str] = (), items: DataFrame | None = None, digits: int = 6) -> DataFrame:
@@ -119,28 +125,51 @@ def translation_top(contexts: DataFrame, items: DataFrame, relation: Sequence[fl
     return nearest_vectors(queries, corpus, n, metric="euclid", names=("context", "item", "score")).withColumnRenamed("place", "rank")
 
 
-def draw_votes(
-    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42,
-    exclude_self: bool = False, digits: int = 12,
+def draw_neighbours(
+    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42, exclude_self: bool = False,
 ) -> DataFrame:
-    """One vote per draw of the training contexts without replacement, all draws in one plan."""
+    """(context, neighbour, similarity, draws): the k nearest of each draw of the training contexts without replacement.
+
+    A draw is a bit of a mask on the training contexts, so all draws share one comparison of each pair.
+    """
     train = training_vectors(vectors, truth).select("context", "vec")
-    tickets = train.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
+    tickets = train.select("context", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn(
         "h", seeded_hash(seed, F.col("draw"), F.col("context"))
     )
-    chosen = hash_position(tickets, "h", "context", ["draw"]).where(
-        F.col("position") <= F.floor(F.col("group_size") * ratio)
+    chosen = (
+        hash_position(tickets, "h", "context", ["draw"]).where(F.col("position") <= F.floor(F.col("group_size") * ratio))
+        .groupBy("context").agg(F.sum(F.expr("shiftleft(1L, draw - 1)")).alias("draws"))
     )
-    corpus = chosen.select(F.col("context").alias("id"), "vec", "draw")
-    queries = as_points(vectors).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    near = nearest_vectors(queries, corpus, k, by=["draw"], exclude_self=exclude_self)
+    corpus = cut_lineage(train.join(chosen, "context").select(F.col("context").alias("id"), "vec", "draws"))
+    near = nearest_by_draw(as_points(vectors), corpus, k, draws, exclude_self=exclude_self)
+    return near.select(F.col("q_id").alias("context"), F.col("c_id").alias("neighbour"), F.col("score").alias("similarity"), "draws")
+
+
+def _draw_sums(near: DataFrame, truth: DataFrame, draws: int, digits: int) -> DataFrame:
+    """(context, item, scores): the vote of each draw, null where no neighbour of it holds the item."""
     known = truth.select(F.col("context").alias("neighbour"), "item")
-    return near.join(known, "neighbour").groupBy("draw", "context", "item").agg(F.round(F.sum("similarity"), digits).alias("score"))
+    in_draw = lambda d: F.expr(f"shiftright(draws, {d}) & 1") == 1
+    sums = [F.round(F.sum(F.when(in_draw(d), F.col("similarity"))), digits).alias(f"d{d}") for d in range(draws)]
+    return near.join(known, "neighbour").groupBy("context", "item").agg(*sums).select("context", "item", F.array(*[f"d{d}" for d in range(draws)]).alias("scores"))
+
+
+def draw_votes(
+    vectors: DataFrame, truth: DataFrame, draws: int = 10, ratio: float = 0.8, k: int = 20, seed: int = 42,
+    exclude_self: bool = False, digits: int = 12,
+) -> DataFrame:
+    """One vote per draw of the training contexts without replacement, all draws in one plan."""
+    near = draw_neighbours(vectors, truth, draws, ratio, k, seed, exclude_self)
+    return (
+        _draw_sums(near, truth, draws, digits).select("context", "item", F.posexplode("scores").alias("draw", "score"))
+        .where(F.col("score").isNotNull()).select((F.col("draw") + 1).alias("draw"), "context", "item", "score")
+    )
 
 
 def subsample_votes(vectors: DataFrame, truth: DataFrame, draws: int = 10, digits: int = 9, **kw) -> DataFrame:
     """Votes averaged over the draws; an absent item counts 0."""
-    return draw_votes(vectors, truth, draws, **kw).groupBy("context", "item").agg(F.round(F.sum("score") / draws, digits).alias("score"))
+    near = draw_neighbours(vectors, truth, draws, **kw)
+    total = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    return _draw_sums(near, truth, draws, 12).select("context", "item", F.round(total / draws, digits).alias("score"))
 
 
 def multi_k_scores(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int] = (15, 20, 25, 30), top: int = 30) -> DataFrame:
