@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import nearest_sets
+from loomgraph.operators.pairs import PairMembers, common_members
 from loomgraph.operators.ranking import global_position
 from loomgraph.operators.similar import jaccard_of, pair_sizes
 from loomgraph.session import cut_lineage
@@ -37,7 +38,7 @@ def links(edges: DataFrame, relations: Sequence[str], left_type: str, right_type
 def shared_features(pairs: DataFrame, item_features: DataFrame, context_features: DataFrame) -> DataFrame:
     """Features that both ends of a pair have (left rows of pairs without any are kept)."""
     hits = (
-        pairs.select("context", "item").join(item_features, "item").join(context_features, ["context", "feature"])
+        common_members(pairs, item_features, context_features, "item", "context", "feature")
         .groupBy("context", "item").agg(F.count("*").alias("n_shared"), joined_set("feature").alias("shared"))
     )
     return pairs.select("context", "item").join(hits, ["context", "item"], "left").select(
@@ -121,19 +122,21 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pair_topology(pairs: DataFrame, edges: DataFrame, a: str, b: str, feature_type: str = "Feature") -> DataFrame:
     """Eleven topological features of each (a, b) pair of node ids."""
     adj = cut_lineage(adjacency(edges))
-    deg = adj.groupBy("node").agg(
-        F.count("*").alias("degree"), F.count_if(F.startswith("neighbour", F.lit(feature_type + "::"))).alias("features")
-    )
-    pairs = pairs.select(a, b).distinct()
-    left = adj.select(F.col("node").alias(a), F.col("neighbour").alias("mid"))
-    right = adj.select(F.col("node").alias(b), F.col("neighbour").alias("mid"))
-    mids = deg.select(F.col("node").alias("mid"), F.col("degree").alias("mid_degree"))
-    common = (
-        pairs.join(left, a).join(right, [b, "mid"]).join(mids, "mid").groupBy(a, b).agg(
-            F.count("*").alias("n_common"),
-            F.count_if(F.startswith("mid", F.lit(feature_type + "::"))).alias("n_common_features"),
-            F.sum(F.when(F.col("mid_degree") > 1, 1.0 / F.log("mid_degree")).otherwise(0.0)).alias("adamic_adar"),
-        )
+    is_feature = F.startswith("neighbour", F.lit(feature_type + "::"))
+    deg = cut_lineage(adj.groupBy("node").agg(F.count("*").alias("degree"), F.count_if(is_feature).alias("features")))
+    pairs = cut_lineage(pairs.select(a, b).distinct())
+    # what a common neighbour adds follows from it alone, and only the neighbours of the pairs' ends are laid out
+    weight = deg.select(F.col("node").alias("neighbour"), F.when(F.col("degree") > 1, 1.0 / F.log("degree")).otherwise(0.0).alias("weight"))
+
+    def side(end: str) -> DataFrame:
+        mine = adj.join(pairs.select(F.col(end).alias("node")).distinct(), "node", "left_semi")
+        return mine.join(weight, "neighbour").select(F.col("node").alias(end), F.col("neighbour").alias("mid"), "weight")
+
+    members = PairMembers(side(a), side(b), a, b, "mid", ["weight"])
+    common = members.common(members.sized(pairs)).groupBy(a, b).agg(
+        F.count("*").alias("n_common"),
+        F.count_if(F.startswith("mid", F.lit(feature_type + "::"))).alias("n_common_features"),
+        F.sum("weight").alias("adamic_adar"),
     )
     direct = pairs.join(adj.select(F.col("node").alias(a), F.col("neighbour").alias(b)), [a, b], "left_semi").withColumn("direct", F.lit(1))
     da = deg.select(F.col("node").alias(a), F.col("degree").alias("degree_a"), F.col("features").alias("features_a"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import BLOCK_ROWS, nearest_by_draw, nearest_vectors
+from loomgraph.operators.pairs import PairMembers
 from loomgraph.operators.pivots import nearest_pruned
 from loomgraph.operators.ranking import hash_position, top_n
 from loomgraph.session import cut_lineage
@@ -68,23 +69,12 @@ def hybrid_similarity(first: DataFrame, second: DataFrame, alpha: float, digits:
 def pair_sizes(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, feature: str = "feature") -> DataFrame:
     """Set sizes and intersection of given (a, b) pairs from two long tables (a|b, feature).
 
-    Only the listed pairs are expanded, by the smaller of the two sets through equi joins.
+    Only the listed pairs are expanded, by the smaller of the two sets; the other set is probed.
     """
-    l_sizes = left.groupBy(a).agg(F.count("*").alias("size_a"))
-    r_sizes = right.groupBy(b).agg(F.count("*").alias("size_b"))
-    both = (
-        pairs.select(a, b).distinct()
-        .join(left.select(a, feature), a)
-        .join(right.select(b, feature), [b, feature])
-        .groupBy(a, b).agg(F.count("*").alias("shared"))
-    )
-    zero = F.lit(0).cast("bigint")
-    return (
-        pairs.join(both, [a, b], "left").join(l_sizes, a, "left").join(r_sizes, b, "left")
-        .withColumn("shared", F.coalesce("shared", zero))
-        .withColumn("size_a", F.coalesce("size_a", zero))
-        .withColumn("size_b", F.coalesce("size_b", zero))
-    )
+    members = PairMembers(left, right, a, b, feature)
+    sized = cut_lineage(members.sized(pairs))
+    both = members.common(sized).groupBy(a, b).agg(F.count("*").alias("shared"))
+    return sized.join(both, [a, b], "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("bigint")))
 
 
 def jaccard_of(shared: Column, size_a: Column, size_b: Column) -> Column:
