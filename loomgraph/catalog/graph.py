@@ -7,6 +7,7 @@ from loomgraph.catalog.similarity import near, set_near, top_items
 from loomgraph.operators import graph as G
 from loomgraph.operators import paths as P
 from loomgraph.operators import similar as S
+from loomgraph.session import cut_lineage
 
 ids = ["context", "item"]
 
@@ -161,7 +162,8 @@ view("walk_v", """
     JOIN (SELECT context, node, min(distance) AS distance FROM walk_v GROUP BY 1, 2) w ON w.context = v.context AND w.node = i.feature
     GROUP BY 1, 2) d ON d.context = v.context AND d.item = v.item""")
 def _(t):
-    d = P.set_distances(t.context_features(), t.feature_net(), "context", 6)
+    wanted = pairs(t).select(*ids).join(t.item_features(), "item").select("context", F.col("feature").alias("node")).distinct()
+    d = P.set_distances(wanted, t.context_features(), t.feature_net(), "context", 6)
     return P.pair_distances(pairs(t), d, t.item_features())
 
 
@@ -266,18 +268,36 @@ def _(t):
     return G.mechanism_trace(pairs(t), t.item_features(), t.context_features(), t.feature_groups())
 
 
+view("link_adj_v", """
+  SELECT source AS x, target AS y FROM edges_v WHERE relation IN ('targets', 'associated_with', 'interacts_with')
+  UNION SELECT target, source FROM edges_v WHERE relation IN ('targets', 'associated_with', 'interacts_with')""")
+
+
 @entry("g16_novelty_class", """
+  WITH p AS MATERIALIZED (SELECT * FROM pair_nodes_v), n AS MATERIALIZED (SELECT * FROM link_adj_v),
+  l1 AS MATERIALIZED (SELECT source, target FROM p JOIN n ON x = source AND y = target),
+  l2 AS MATERIALIZED (SELECT p.source, p.target, min(a.y) AS middle FROM p ANTI JOIN l1 USING (source, target) JOIN n a ON a.x = p.source JOIN n b ON b.x = p.target AND b.y = a.y GROUP BY 1, 2),
+  o3 AS MATERIALIZED (SELECT * FROM p ANTI JOIN l1 USING (source, target) ANTI JOIN l2 USING (source, target)),
+  l3 AS MATERIALIZED (SELECT DISTINCT p.source, p.target FROM o3 p JOIN n a ON a.x = p.source JOIN n m ON m.x = a.y JOIN n b ON b.x = p.target AND b.y = m.y),
+  o4 AS MATERIALIZED (SELECT * FROM o3 ANTI JOIN l3 USING (source, target)),
+  s2 AS MATERIALIZED (SELECT DISTINCT a.x AS source, m.y FROM n a JOIN n m ON m.x = a.y WHERE a.x IN (SELECT source FROM o4)),
+  t2 AS MATERIALIZED (SELECT DISTINCT a.x AS target, m.y FROM n a JOIN n m ON m.x = a.y WHERE a.x IN (SELECT target FROM o4)),
+  l4 AS MATERIALIZED (SELECT DISTINCT p.source, p.target FROM o4 p JOIN s2 ON s2.source = p.source JOIN t2 ON t2.target = p.target AND t2.y = s2.y),
+  l AS (SELECT source, target, 1 AS length, NULL AS middle FROM l1 UNION ALL SELECT source, target, 2, middle FROM l2
+        UNION ALL SELECT source, target, 3, NULL FROM l3 UNION ALL SELECT source, target, 4, NULL FROM l4)
   SELECT p.source, p.target, CASE WHEN d.context IS NOT NULL THEN 'KNOWN' WHEN b.length IS NULL THEN 'TRUE_NOVEL'
-    WHEN b.length = 2 AND starts_with(b.nodes[2], 'Item::') THEN 'DRUG_SIMILARITY' WHEN b.length = 2 AND starts_with(b.nodes[2], 'Feature::') THEN 'MECHANISTIC'
-    WHEN b.length = 2 THEN 'INDIRECT_2HOP' WHEN b.length = 3 THEN 'INDIRECT_3HOP' ELSE 'DISTANT' END AS novelty, b.length
-  FROM pair_nodes_v p LEFT JOIN (SELECT * FROM paths_v WHERE place = 1) b ON b.source = p.source AND b.target = p.target
+    WHEN b.length = 2 AND starts_with(b.middle, 'Item::') THEN 'DRUG_SIMILARITY' WHEN b.length = 2 AND starts_with(b.middle, 'Feature::') THEN 'MECHANISTIC'
+    WHEN b.length = 2 THEN 'INDIRECT_2HOP' WHEN b.length = 3 THEN 'INDIRECT_3HOP' WHEN b.length = 4 THEN 'DISTANT' ELSE 'INDIRECT' END AS novelty, b.length
+  FROM p LEFT JOIN l b ON b.source = p.source AND b.target = p.target
   LEFT JOIN truth_v d ON 'Item::' || d.item = p.source AND 'Context::' || d.context = p.target""")
 def _(t):
+    """The undirected search over feature links; a known pair is a pair of the truth, whatever its path."""
     known = t.truth().select(F.concat(F.lit("Item::"), "item").alias("source"), F.concat(F.lit("Context::"), "context").alias("target"), F.lit(True).alias("direct"))
-    first = found_paths(t).where(F.col("place") == 1)
-    out = node_pairs(t).join(first, ["source", "target"], "left").join(known, ["source", "target"], "left")
+    wanted = cut_lineage(node_pairs(t))
+    links = t.edges().where(F.col("relation").isin("targets", "associated_with", "interacts_with")).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    out = P.shortest_paths(wanted, links, 4).join(known, ["source", "target"], "left")
     return out.select("source", "target", P.novelty_class(
-        F.col("length"), F.element_at("nodes", 2), F.col("direct").isNotNull(), "Item", "Feature").alias("novelty"), "length")
+        F.col("length"), F.element_at("path", 2), F.col("direct").isNotNull(), "Item", "Feature").alias("novelty"), "length")
 
 
 view("adj_v", "SELECT source AS node, target AS neighbour FROM edges_v UNION SELECT target, source FROM edges_v")

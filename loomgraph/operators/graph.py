@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import nearest_sets
-from loomgraph.operators.pairs import PairMembers, common_members
+from loomgraph.operators.pairs import PairMembers, common_members, linked
 from loomgraph.operators.ranking import global_position
 from loomgraph.operators.similar import jaccard_of, pair_sizes
 from loomgraph.session import cut_lineage
@@ -127,18 +127,14 @@ def pair_topology(pairs: DataFrame, edges: DataFrame, a: str, b: str, feature_ty
     pairs = cut_lineage(pairs.select(a, b).distinct())
     # what a common neighbour adds follows from it alone, and only the neighbours of the pairs' ends are laid out
     weight = deg.select(F.col("node").alias("neighbour"), F.when(F.col("degree") > 1, 1.0 / F.log("degree")).otherwise(0.0).alias("weight"))
-
-    def side(end: str) -> DataFrame:
-        mine = adj.join(pairs.select(F.col(end).alias("node")).distinct(), "node", "left_semi")
-        return mine.join(weight, "neighbour").select(F.col("node").alias(end), F.col("neighbour").alias("mid"), "weight")
-
-    members = PairMembers(side(a), side(b), a, b, "mid", ["weight"])
+    links = adj.join(weight, "neighbour").select("node", F.col("neighbour").alias("mid"), "weight")
+    members = PairMembers.of_nodes(pairs, links, a, b, "mid", ["weight"])
     common = members.common(members.sized(pairs)).groupBy(a, b).agg(
         F.count("*").alias("n_common"),
         F.count_if(F.startswith("mid", F.lit(feature_type + "::"))).alias("n_common_features"),
         F.sum("weight").alias("adamic_adar"),
     )
-    direct = pairs.join(adj.select(F.col("node").alias(a), F.col("neighbour").alias(b)), [a, b], "left_semi").withColumn("direct", F.lit(1))
+    direct = linked(pairs, members).withColumn("direct", F.lit(1))
     da = deg.select(F.col("node").alias(a), F.col("degree").alias("degree_a"), F.col("features").alias("features_a"))
     db = deg.select(F.col("node").alias(b), F.col("degree").alias("degree_b"), F.col("features").alias("features_b"))
     zero = F.lit(0).cast("bigint")

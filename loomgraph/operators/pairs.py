@@ -27,9 +27,22 @@ class PairMembers:
     """
 
     def __init__(self, left: DataFrame, right: DataFrame, a: str, b: str, mid: str, carry: Sequence[str] = (), rows: int = SLICE):
+        side = lambda df, end, kind: df.select(kind.alias("__side"), F.col(end).alias("__end"), F.col(mid).alias("__mid"), *carry)
+        self._keep(side(left, a, _A).unionByName(side(right, b, _B)), a, b, mid, carry, rows)
+
+    @classmethod
+    def of_nodes(cls, pairs: DataFrame, links: DataFrame, a: str, b: str, mid: str, carry: Sequence[str] = (), rows: int = SLICE) -> PairMembers:
+        """Both ends are nodes of one table ``links`` (node, mid, ...), which is read once; only the ends of ``pairs`` are kept."""
+        ends = cut_lineage(
+            pairs.select(_A.alias("__side"), F.col(a).alias("node")).distinct().unionByName(pairs.select(_B.alias("__side"), F.col(b).alias("node")).distinct())
+        )
+        out = cls.__new__(cls)
+        out._keep(links.join(ends, "node").select("__side", F.col("node").alias("__end"), F.col(mid).alias("__mid"), *carry), a, b, mid, carry, rows)
+        return out
+
+    def _keep(self, table: DataFrame, a: str, b: str, mid: str, carry: Sequence[str], rows: int) -> None:
         self.a, self.b, self.mid, self.carry, self.rows = a, b, mid, list(carry), rows
-        side = lambda df, end, kind: df.select(kind.alias("__side"), F.col(end).alias("__end"), F.col(mid).alias("__mid"), *self.carry)
-        self.table = cut_lineage(side(left, a, _A).unionByName(side(right, b, _B)))
+        self.table = cut_lineage(table)
         self.sizes = cut_lineage(self.table.groupBy("__side", "__end").agg(F.count("*").alias("__n")))
 
     def sized(self, pairs: DataFrame) -> DataFrame:
@@ -69,6 +82,12 @@ class PairMembers:
         )
 
 
+def linked(pairs: DataFrame, members: PairMembers) -> DataFrame:
+    """The pairs whose end b is itself a member of end a."""
+    held = members.table.where(F.col("__side") == _A).select(F.col("__end").alias(members.a), F.col("__mid").alias(members.b))
+    return pairs.join(held, [members.a, members.b], "left_semi")
+
+
 def common_members(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, mid: str) -> DataFrame:
     """(a, b, mid) of the distinct pairs."""
     members = PairMembers(left, right, a, b, mid)
