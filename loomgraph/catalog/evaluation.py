@@ -417,17 +417,29 @@ def grouped(t):
     return measured(t).select("item", "freq", (F.col("size") > 25).cast("int").alias("big"))
 
 
-@entry("t3_mann_whitney", f"SELECT n1, n - n1 AS n2, round(u, 4) AS u, round((u - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12), 6) AS z FROM (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM (SELECT sum(big) AS n1, count(*) AS n, sum(r) FILTER (big = 1) AS r1 FROM (SELECT big, {RK.format('freq')} AS r FROM grouped_v)))")
+MANN_WHITNEY = f"SELECT n1, n - n1 AS n2, round(u, 4) AS u, round((u - n1 * (n - n1) / 2) / sqrt(n1 * (n - n1) * (n + 1) / 12), 6) AS z FROM (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM (SELECT sum(big) AS n1, count(*) AS n, sum(r) FILTER (big = 1) AS r1 FROM (SELECT big, {RK.format('freq')} AS r FROM grouped_v)))"
+
+
+@entry("t3_mann_whitney", MANN_WHITNEY)
 def _(t):
     return E.mann_whitney(grouped(t), "freq", "big")
 
 
-@entry("t3_wilcoxon", f"SELECT n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w FROM (SELECT d, {RK.format('m')} AS r FROM (SELECT h1 - h2 AS d, abs(h1 - h2) AS m FROM both_hits_v WHERE h1 <> h2)))")
+WILCOXON = f"SELECT n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM (SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w FROM (SELECT d, {RK.format('m')} AS r FROM (SELECT h1 - h2 AS d, abs(h1 - h2) AS m FROM both_hits_v WHERE h1 <> h2)))"
+
+
+@entry("t3_wilcoxon", WILCOXON)
 def _(t):
     return E.wilcoxon(both_hits(t), "h1", "h2")
 
 
-@entry("t3_p_values")
+# the series of erf with each term by logarithms: 2^n x^(2n+1) / (2n+1)!!, (2n+1)!! = (2n+1)! / (2^n n!)
+ERF_TERM = "exp(2 * n * ln(2) + (2 * n + 1) * ln(x) + lgamma(n + 1) - lgamma(2 * n + 2))"
+
+
+@entry("t3_p_values", f"""
+  SELECT test, z, round(1 - CASE WHEN x = 0 THEN 0 ELSE 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(161)::DOUBLE[], lambda n: {ERF_TERM})) END, 9) AS p
+  FROM (SELECT *, least(abs(z) / sqrt(2), 6) AS x FROM (SELECT 'mann_whitney' AS test, z FROM ({MANN_WHITNEY}) UNION ALL SELECT 'wilcoxon', z FROM ({WILCOXON})))""")
 def _(t):
     z = E.mann_whitney(grouped(t), "freq", "big").select(F.lit("mann_whitney").alias("test"), "z").union(E.wilcoxon(both_hits(t), "h1", "h2").select(F.lit("wilcoxon"), "z"))
     return E.with_normal_p(z)
@@ -438,12 +450,17 @@ def mcnemar(t):
     return E.mcnemar(flag(hits(t), "a"), flag(mech_hits(t), "b"), "context")
 
 
-@entry("t4_mcnemar_counts", "SELECT count(*) FILTER (h1 > 0 AND h2 > 0) AS both, count(*) FILTER (h1 > 0 AND h2 = 0) AS first_only, count(*) FILTER (h1 = 0 AND h2 > 0) AS second_only, count(*) FILTER (h1 = 0 AND h2 = 0) AS neither FROM both_hits_v")
+MCNEMAR = "SELECT count(*) FILTER (h1 > 0 AND h2 > 0) AS both, count(*) FILTER (h1 > 0 AND h2 = 0) AS first_only, count(*) FILTER (h1 = 0 AND h2 > 0) AS second_only, count(*) FILTER (h1 = 0 AND h2 = 0) AS neither FROM both_hits_v"
+
+
+@entry("t4_mcnemar_counts", MCNEMAR)
 def _(t):
     return mcnemar(t)
 
 
-@entry("t4_sign_test_p")
+@entry("t4_sign_test_p", f"""
+  SELECT *, round(least(1, list_sum(list_transform(range(first_only, n + 1)::DOUBLE[], lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 9) AS p
+  FROM (SELECT *, first_only + second_only AS n FROM ({MCNEMAR}))""".replace("SELECT *, round", "SELECT * EXCLUDE (n), round"))
 def _(t):
     return E.with_sign_p(mcnemar(t))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import cut_lineage
 
 SLICE = 4096
-_A, _B = F.lit(0), F.lit(1)
+_A, _B = 0, 1
 
 
 class PairMembers:
@@ -27,14 +27,14 @@ class PairMembers:
     """
 
     def __init__(self, left: DataFrame, right: DataFrame, a: str, b: str, mid: str, carry: Sequence[str] = (), rows: int = SLICE):
-        side = lambda df, end, kind: df.select(kind.alias("__side"), F.col(end).alias("__end"), F.col(mid).alias("__mid"), *carry)
+        side = lambda df, end, kind: df.select(F.lit(kind).alias("__side"), F.col(end).alias("__end"), F.col(mid).alias("__mid"), *carry)
         self._keep(side(left, a, _A).unionByName(side(right, b, _B)), a, b, mid, carry, rows)
 
     @classmethod
     def of_nodes(cls, pairs: DataFrame, links: DataFrame, a: str, b: str, mid: str, carry: Sequence[str] = (), rows: int = SLICE) -> PairMembers:
         """Both ends are nodes of one table ``links`` (node, mid, ...), which is read once; only the ends of ``pairs`` are kept."""
         ends = cut_lineage(
-            pairs.select(_A.alias("__side"), F.col(a).alias("node")).distinct().unionByName(pairs.select(_B.alias("__side"), F.col(b).alias("node")).distinct())
+            pairs.select(F.lit(_A).alias("__side"), F.col(a).alias("node")).distinct().unionByName(pairs.select(F.lit(_B).alias("__side"), F.col(b).alias("node")).distinct())
         )
         out = cls.__new__(cls)
         out._keep(links.join(ends, "node").select("__side", F.col("node").alias("__end"), F.col(mid).alias("__mid"), *carry), a, b, mid, carry, rows)
