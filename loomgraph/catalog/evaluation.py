@@ -13,7 +13,8 @@ from loomgraph.operators import names as N
 from loomgraph.operators import ranking as W
 from loomgraph.operators import similar as S
 from loomgraph.operators.graph import pair_overlap
-from loomgraph.operators.nearest import count_better
+from loomgraph.operators.nearest import BLOCK_ROWS, count_better
+from loomgraph.operators.pivots import count_better_pruned
 from loomgraph.plans import holdout as H
 from loomgraph.session import cut_lineage
 
@@ -144,7 +145,8 @@ def _(t):
     cuts = t.truth().join(c, "context").join(i, "item").select("context", "item", F.round(-V.norm(V.minus(F.col("v"), F.col("iv"))), 6).alias("cut"))
     asked = cuts.groupBy("context").agg(F.collect_set("cut").alias("cuts"))  # one query row per context with its cuts
     q = asked.join(c, "context").select(F.col("context").alias("id"), F.col("v").alias("vec"), "cuts")
-    found = count_better(q, i.select(F.col("item").alias("id"), F.col("iv").alias("vec"))).withColumnRenamed("id", "context")
+    count = count_better_pruned if t.item_vectors().count() > BLOCK_ROWS else count_better  # the rows are the same
+    found = count(q, i.select(F.col("item").alias("id"), F.col("iv").alias("vec"))).withColumnRenamed("id", "context")
     rank = cuts.join(found, ["context", "cut"]).withColumn("rank", F.col("better") + 1)
     at = lambda k: F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"hits_{k}")
     return rank.agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr"), at(1), at(3), at(10))

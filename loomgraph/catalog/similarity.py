@@ -6,6 +6,7 @@ from loomgraph.catalog.base import entry, view
 from loomgraph.functions import vectors as V
 from loomgraph.operators import similar as S
 from loomgraph.operators.nearest import nearest_sets, nearest_vectors
+from loomgraph.operators.pivots import nearest_exact
 from loomgraph.operators.ranking import share_of_best, top_n
 
 DIM = 64
@@ -296,7 +297,7 @@ def _(t):
     FROM item_vectors_v a JOIN item_vectors_v b ON a.item <> b.item) WHERE place <= 10""")
 def _(t):
     p = S.as_points(t.item_vectors(), "item")
-    return nearest_vectors(p, p, 10, exclude_self=True, names=("item", "other", "similarity"))
+    return nearest_exact(p, p, 10, p.count(), exclude_self=True, names=("item", "other", "similarity"))
 
 
 view("coherence_v", """

@@ -359,14 +359,8 @@ def nearest_sets(
     return _merge(parts, by, k, names, ["size"] * sized)
 
 
-def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, cut, better): number of corpus rows that score above each cut of each query; no pair leaves a task.
-
-    ``queries`` (id, vec, cuts: array), ``corpus`` (id, vec); ids of the queries must be unique. A query row is
-    scored once for all its cuts, which are found in the sorted scores.
-    """
-    left, right = _placed(queries.select("id", "vec", "cuts"), _fresh(corpus.select("id", "vec")), [], block_rows)
-    id_type = {f.name: f.dataType.simpleString() for f in queries.schema}["id"]
+def _count_kernel(metric: str, digits: int):
+    """Task of one cell: for each cut of each query the number of corpus rows that score above it."""
 
     def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
         cuts = ql.column("cuts").to_pylist()
@@ -386,6 +380,17 @@ def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid",
                     better[a:b] = len(line) - np.searchsorted(line, flat[a:b], "right")
         return pa.table([ql.column("id").take(pa.array(owner)), pa.array(flat), pa.array(better)], names=["id", "cut", "better"])
 
+    return kernel
+
+
+def count_better(queries: DataFrame, corpus: DataFrame, metric: str = "euclid", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, cut, better): number of corpus rows that score above each cut of each query; no pair leaves a task.
+
+    ``queries`` (id, vec, cuts: array), ``corpus`` (id, vec); ids of the queries must be unique. A query row is
+    scored once for all its cuts, which are found in the sorted scores.
+    """
+    left, right = _placed(queries.select("id", "vec", "cuts"), _fresh(corpus.select("id", "vec")), [], block_rows)
+    id_type = {f.name: f.dataType.simpleString() for f in queries.schema}["id"]
     keys = ["q_block", "c_block"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, f"id {id_type}, cut double, better bigint")
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_count_kernel(metric, digits), f"id {id_type}, cut double, better bigint")
     return parts.groupBy("id", "cut").agg(F.sum("better").alias("better"))

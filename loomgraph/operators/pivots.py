@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import seeded_hash
-from loomgraph.operators.nearest import BLOCK_ROWS, _fresh, _matrix, _merge, _result, _unit, _vector_kernel
+from loomgraph.operators.nearest import BLOCK_ROWS, _count_kernel, _fresh, _matrix, _merge, _result, _unit, _vector_kernel, nearest_vectors
 from loomgraph.session import cut_lineage
 
 MOST_PIVOTS = 1024
@@ -171,3 +171,55 @@ def nearest_pruned(
     far = _compared(
         index.later_visits(open_, k + exclude_self, digits, factor).drop("cut"), index.placed, index.size, index.block_rows, kernel, schema)
     return _merge(near.unionByName(far), [], k, names)
+
+
+def nearest_exact(queries: DataFrame, corpus: DataFrame, k: int, rows: int, block_rows: int = BLOCK_ROWS, **kw) -> DataFrame:
+    """nearest_pruned() for a corpus of more ``rows`` than one block holds, else nearest_vectors(): the rows are the same."""
+    return (nearest_pruned if rows > block_rows else nearest_vectors)(queries, corpus, k, block_rows=block_rows, **kw)
+
+
+def _ranges(batch: pa.RecordBatch, pivots: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner of each cut, cuts, least, greatest distance of each query to each block)."""
+    d = _distances(_points(pa.chunked_array([batch["vec"]]), batch.num_rows, "euclid"), pivots)
+    cuts = batch["cuts"].to_pylist()
+    owner = np.repeat(np.arange(batch.num_rows), [len(c) for c in cuts])
+    return owner, np.array([x for c in cuts for x in c], np.float64), d - radius, d + radius
+
+
+def count_better_pruned(queries: DataFrame, corpus: DataFrame, digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of count_better() for the Euclidean metric; a block is scored only where some cut falls inside its range.
+
+    A block that is nearer than a cut as a whole counts with its size, one that is farther counts nothing.
+    """
+    index = PivotIndex(_fresh(corpus.select("id", "vec")), "euclid", block_rows)
+    queries = cut_lineage(queries.select("id", "vec", "cuts"))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    slack = 10.0**-digits + _SLACK
+    pivots, radius, size = index.pivots, index.radius, index.size
+
+    def decided(owner, cuts, low, high):
+        """(cut x block) all rows better, and (query x block) some cut undecided."""
+        far = -cuts[:, None]
+        all_better = high[owner] + slack < far
+        open_ = ~all_better & (low[owner] - slack <= far) & (size > 0)
+        some = np.zeros(low.shape, bool)
+        np.logical_or.at(some, owner, open_)
+        return all_better, some
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, some = decided(*_ranges(batch, pivots, radius))
+            row, pivot = np.nonzero(some)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(pivot, pa.int32())], [*batch.schema.names, "pivot"])
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, cuts, low, high = _ranges(batch, pivots, radius)
+            all_better, some = decided(owner, cuts, low, high)
+            n = ((all_better & ~some[owner]) * size).sum(axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(owner)), pa.array(cuts), pa.array(n)], ["id", "cut", "better"])
+
+    out = f"id {kinds['id']}, cut double, better bigint"
+    asked = queries.mapInArrow(ask, f"id {kinds['id']}, vec {kinds['vec']}, cuts {kinds['cuts']}, pivot int")
+    scored = _compared(asked, index.placed, index.size, block_rows, _count_kernel("euclid", digits), out)
+    return queries.mapInArrow(base, out).unionByName(scored).groupBy("id", "cut").agg(F.sum("better").alias("better"))

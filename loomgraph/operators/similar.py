@@ -11,7 +11,7 @@ from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import BLOCK_ROWS, nearest_by_draw, nearest_vectors
 from loomgraph.operators.pairs import PairMembers
-from loomgraph.operators.pivots import nearest_pruned
+from loomgraph.operators.pivots import nearest_exact
 from loomgraph.operators.ranking import hash_position, top_n
 from loomgraph.session import cut_lineage
 
@@ -32,10 +32,9 @@ def nearest_contexts(vectors: DataFrame, truth: DataFrame, k: int = 20, exclude_
     """
     keep = ["category"] if kw.get("boosted") else []
     queries, corpus = as_points(vectors, "context", *keep), as_points(training_vectors(vectors, truth), "context", *keep)
-    if kw.get("floor") is None and vectors.count() > block_rows:
-        kw.pop("floor", None)
-        return nearest_pruned(queries, corpus, k, exclude_self=exclude_self, block_rows=block_rows, **kw)
-    return nearest_vectors(queries, corpus, k, exclude_self=exclude_self, **kw)
+    if "floor" in kw:
+        return nearest_vectors(queries, corpus, k, exclude_self=exclude_self, block_rows=block_rows, **kw)
+    return nearest_exact(queries, corpus, k, vectors.count(), block_rows, exclude_self=exclude_self, **kw)
 
 
 def vote(neighbours: DataFrame, truth: DataFrame, by: Sequence[str] = (), items: DataFrame | None = None, digits: int = 6) -> DataFrame:

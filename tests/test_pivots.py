@@ -79,3 +79,5 @@ def test_cuts_of_one_query_are_counted_together(spark):
     for (i, cut), better in got.items():
         assert better == sum(round(-float(np.linalg.norm(v[i] - x)), 6) + 0.0 > cut for x in v.values())
     assert len(got) == 60
+    pruned = {(r["id"], r["cut"]): r["better"] for r in P.count_better_pruned(q, points, block_rows=40).collect()}
+    assert pruned == got
