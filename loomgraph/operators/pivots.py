@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.hashing import seeded_hash
-from loomgraph.operators.nearest import BLOCK_ROWS, _count_kernel, _fresh, _matrix, _merge, _result, _unit, _vector_kernel, nearest_vectors
+from loomgraph.operators.nearest import BLOCK_ROWS, EXPANSION, TILE_CELLS, _compare, _count_kernel, _fresh, _matrix, _merge, _result, _unit, _vector_kernel, nearest_vectors
 from loomgraph.session import cut_lineage
 
 MOST_PIVOTS = 1024
@@ -223,3 +223,63 @@ def count_better_pruned(queries: DataFrame, corpus: DataFrame, digits: int = 6,
     asked = queries.mapInArrow(ask, f"id {kinds['id']}, vec {kinds['vec']}, cuts {kinds['cuts']}, pivot int")
     scored = _compared(asked, index.placed, index.size, block_rows, _count_kernel("euclid", digits), out)
     return queries.mapInArrow(base, out).unionByName(scored).groupBy("id", "cut").agg(F.sum("better").alias("better"))
+
+
+_LABELS = 4096  # labels of one corpus row that travel together
+
+
+def _label_kernel(metric: str, floor: float, digits: int):
+    """Task of one cell: the distinct labels of the corpus rows that score ``floor`` or more for each query."""
+
+    def kernel(ql: pa.Table, cl: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        labels = cl.column("labels").combine_chunks()
+        flat = labels.flatten()
+        found_q, found_l = [none], [none]
+        if ql.num_rows and cl.num_rows:
+            values, code = np.unique(flat.to_numpy(zero_copy_only=False), return_inverse=True)
+            size = np.diff(labels.offsets.to_numpy())
+            first = np.cumsum(size) - size
+            qm, cm = _points(ql.column("vec"), ql.num_rows, metric), _points(cl.column("vec"), cl.num_rows, metric)
+            step = max(1, TILE_CELLS // cl.num_rows)
+            for lo in range(0, ql.num_rows, step):
+                hit = np.round(_compare(metric, qm[lo : lo + step], cm), digits) >= floor
+                weight = hit @ size
+                at = 0
+                while at < len(hit):  # rows whose labels are laid out together
+                    end = max(at + 1, int(np.searchsorted(np.cumsum(weight), (np.cumsum(weight)[at - 1] if at else 0) + EXPANSION, "right")))
+                    r, c = np.nonzero(hit[at:end])
+                    n = size[c]
+                    place = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    pair = np.unique(np.repeat(r, n) * max(1, len(values)) + code[place])
+                    found_q.append(lo + at + pair // max(1, len(values)))
+                    found_l.append(pair % max(1, len(values)))
+                    at = end
+        q, which = np.concatenate(found_q), np.concatenate(found_l)
+        out = pa.array(values[which], flat.type) if len(which) else flat.slice(0, 0)
+        return pa.table([ql.column("id").take(pa.array(q)), out], names=["q_id", "label"])
+
+    return kernel
+
+
+def labels_above(
+    queries: DataFrame, corpus: DataFrame, labels: DataFrame, floor: float, metric: str = "cosine", digits: int = 6, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Distinct (q_id, label) of the corpus rows that score ``floor`` or more; the pairs stay in their cells.
+
+    ``queries`` and ``corpus`` (id, vec), ``labels`` (id, label: whole numbers) of the corpus. Rows without labels are left out, and
+    a row with very many is compared once for each slice of them. Blocks that lie beyond the floor are
+    skipped.
+    """
+    labels = labels.select("id", "label").where(F.col("label").isNotNull()).distinct()
+    n = labels.groupBy("id").agg(F.count("*").alias("n"))
+    slices = labels.join(n, "id").groupBy("id", F.pmod(F.xxhash64("label"), F.ceil(F.col("n") / _LABELS)).alias("slice")).agg(F.collect_list("label").alias("labels"))
+    rows = _fresh(corpus.select("id", "vec").join(slices.drop("slice"), "id"))
+    index = PivotIndex(rows, metric, block_rows)
+    kinds = {f.name: f.dataType for f in index.placed.schema}
+    schema = f"q_id {queries.schema['id'].dataType.simpleString()}, label {kinds['labels'].elementType.simpleString()}"
+    if not index.rows:
+        return queries.limit(0).select(F.col("id").alias("q_id"), F.lit(None).cast(kinds["labels"].elementType).alias("label"))
+    asked = index.later_visits(queries.select("id", "vec", F.lit(float(floor)).alias("cut")), 0, digits).drop("cut")
+    found = _compared(cut_lineage(asked), index.placed, index.size, block_rows, _label_kernel(metric, floor, digits), schema)
+    return found.distinct()  # slices and cells of one query may hold a label each

@@ -11,7 +11,7 @@ from loomgraph.functions import vectors as V
 from loomgraph.functions.hashing import seeded_hash
 from loomgraph.operators.nearest import BLOCK_ROWS, nearest_by_draw, nearest_vectors
 from loomgraph.operators.pairs import PairMembers
-from loomgraph.operators.pivots import nearest_exact
+from loomgraph.operators.pivots import labels_above, nearest_exact
 from loomgraph.operators.ranking import hash_position, top_n
 from loomgraph.session import cut_lineage
 
@@ -274,14 +274,13 @@ def attention_weights(neighbours: DataFrame) -> DataFrame:
 def attention_transfer(neighbours: DataFrame, truth: DataFrame, item_vectors: DataFrame, candidates: DataFrame, floor: float = 0.8) -> DataFrame:
     """Weight of the neighbours that hold an item with a cosine above ``floor`` to the candidate."""
     weighted = attention_weights(neighbours).select("context", "neighbour", "weight")
-    similar = nearest_vectors(
-        as_points(item_vectors, "item"), as_points(item_vectors, "item"), 2**31 - 1, floor=floor + 1e-6,
-        names=("item", "other", "cosine"),
-    ).select("item", "other")
-    known = truth.select(F.col("context").alias("neighbour"), F.col("item").alias("other"))
+    # per item the contexts that hold an item as near; the pairs of items stay in their cells
+    holders = truth.select(F.col("item").alias("id"), F.col("context").alias("label"))
+    points = as_points(item_vectors, "item")
+    near = labels_above(points, points, holders, floor + 1e-6).select(F.col("q_id").alias("item"), F.col("label").alias("neighbour"))
     hit = (
-        candidates.select("context", "item").join(similar, "item").join(weighted, "context")
-        .join(known, ["neighbour", "other"], "left_semi").select("context", "item", "neighbour", "weight").distinct()
+        candidates.select("context", "item").distinct().join(weighted, "context").join(near, ["item", "neighbour"], "left_semi")
+        .select("context", "item", "neighbour", "weight")
     )
     return hit.groupBy("context", "item").agg(F.round(F.sum("weight"), 4).alias("score"))
 
@@ -312,9 +311,11 @@ def best_known_match(candidates: DataFrame, truth: DataFrame, item_features: Dat
     )
 
 
-def contexts_above(vectors: DataFrame, truth: DataFrame, floor: float) -> DataFrame:
-    """Training contexts with a cosine of at least ``floor`` to a context (only those pairs leave a task)."""
-    return nearest_contexts(vectors, truth, 2**31 - 1, floor=floor).drop("place")
+def items_above(vectors: DataFrame, truth: DataFrame, floor: float) -> DataFrame:
+    """(context, item): items that are true for a training context with a cosine of at least ``floor``."""
+    held = truth.select(F.col("context").alias("id"), F.col("item").alias("label"))
+    points = as_points(vectors)
+    return labels_above(points, points, held, floor).select(F.col("q_id").alias("context"), F.col("label").alias("item"))
 
 
 def class_coherence(candidates: DataFrame, vectors: DataFrame, truth: DataFrame, classes: DataFrame, floor: float = 0.7) -> DataFrame:
@@ -322,8 +323,7 @@ def class_coherence(candidates: DataFrame, vectors: DataFrame, truth: DataFrame,
 
     Of an item in several classes the best share counts.
     """
-    known = truth.select(F.col("context").alias("neighbour"), "item")
-    hits = contexts_above(vectors, truth, floor).join(known, "neighbour").select("context", "item").distinct()
+    hits = cut_lineage(items_above(vectors, truth, floor))
     per_class = hits.join(classes, "item").groupBy("context", "cls").agg(F.count("*").alias("n_hit"))
     sizes = classes.groupBy("cls").agg(F.countDistinct("item").alias("n_class"))
     own = hits.withColumn("own", F.lit(1))

@@ -81,3 +81,15 @@ def test_cuts_of_one_query_are_counted_together(spark):
     assert len(got) == 60
     pruned = {(r["id"], r["cut"]): r["better"] for r in P.count_better_pruned(q, points, block_rows=40).collect()}
     assert pruned == got
+
+
+@pytest.mark.parametrize("block_rows", [8192, 60])
+def test_labels_above_a_floor(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(P, "_LABELS", 5)
+    monkeypatch.setattr(P, "EXPANSION", 50)
+    points = clusters(spark, 160).select("id", "vec")
+    labels = points.where("id % 3 > 0").select("id", F.explode(F.expr("if(id = 1, sequence(0, 40), array(id % 7, id % 11))")).alias("label"))
+    near = N.nearest_vectors(points, points, 1000, floor=0.9, names=("q_id", "id", "s"))
+    want = rows(near.join(labels, "id").select("q_id", "label").distinct())
+    assert rows(P.labels_above(points, points, labels, 0.9, block_rows=block_rows)) == want
+    assert P.labels_above(points, points, labels.limit(0), 0.9).collect() == []
