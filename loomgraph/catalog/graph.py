@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.catalog.base import entry, view
-from loomgraph.catalog.similarity import near, set_near, top_items
+from loomgraph.catalog.similarity import set_near, top_items
 from loomgraph.operators import graph as G
 from loomgraph.operators import paths as P
 from loomgraph.operators import similar as S

@@ -39,11 +39,6 @@ def times(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
 
-def translation_score(head: Column, relation: Column, tail: Column) -> Column:
-    """-||h + r - t||."""
-    return -norm(minus(plus(head, relation), tail))
-
-
 def trilinear_score(head: Column, relation: Column, tail: Column) -> Column:
     return dot(times(head, relation), tail)
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.functions import vectors as V
-from loomgraph.operators.ranking import top_n
 
 # Relation prefixes that form a family of their own.
 RELATION_FAMILIES = ("hetionet", "drugbank", "string", "intact", "gnbr", "bioarx")
@@ -206,11 +205,6 @@ def first_per_key(df: DataFrame, by: Sequence[str], seq: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min_by(F.struct(*rest), seq).alias("r")).select(*by, "r.*")
 
 
-def without_relations(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
-    """C23."""
-    return edges.where(~F.col("relation").isin(*relations))
-
-
 def exclusion_report(edges: DataFrame, relations: Sequence[str]) -> DataFrame:
     removed = F.col("relation").isin(*relations)
     return edges.groupBy("relation").agg(F.count_if(removed).alias("removed"), F.count_if(~removed).alias("kept"))

@@ -115,10 +115,6 @@ def adjacency(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    return adjacency(edges).groupBy("node").agg(F.count("*").alias("degree"))
-
-
 def pair_topology(pairs: DataFrame, edges: DataFrame, a: str, b: str, feature_type: str = "Feature") -> DataFrame:
     """Eleven topological features of each (a, b) pair of node ids."""
     adj = cut_lineage(adjacency(edges))

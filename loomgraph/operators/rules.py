@@ -129,14 +129,6 @@ def group_match(pairs: DataFrame, truth: DataFrame, contexts: DataFrame, groups,
     return pairs.join(hit.select("context", "item", "grp").distinct(), ["context", "item"], "left")
 
 
-def pair_rule(item: Column, context: Column, table: Sequence[tuple[str, str, str]], value: str, score: float) -> list[Rule]:
-    """Rules from (item word, context word, reason) rows."""
-    return [
-        Rule(reason, F.contains(F.lower(item), F.lit(iw)) & F.contains(F.lower(context), F.lit(cw)), F.concat_ws("|", F.lit(value), F.lit(str(score))))
-        for iw, cw, reason in table
-    ]
-
-
 def biologic_check(df: DataFrame, suffix: str, infixes: Mapping[str, str], known: Mapping[str, str], compatible: Mapping[str, Sequence[str]]) -> DataFrame:
     """Target by the known table, else by an infix in the last six letters before the suffix."""
     low = F.lower("name")

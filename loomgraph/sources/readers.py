@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import blank_to_null
 
-NODE_SCHEMA = (
-    "id string, original_id string, type string, name string, source string, external_source string, "
-    "properties map<string,string>"
-)
-EDGE_SCHEMA = "source string, relation string, target string, source_kg string, display_relation string, properties map<string,string>"
 WIDE_COLUMNS = (
     "x_id", "x_type", "x_name", "x_source", "relation", "y_id", "y_type", "y_name", "y_source", "display_relation",
 )
@@ -51,11 +46,6 @@ def nodes_of_triples(df: DataFrame, graph: str = "drkg") -> DataFrame:
     )
 
 
-def edges_of_triples(df: DataFrame, graph: str = "drkg") -> DataFrame:
-    p = F.lit(graph + ":")
-    return df.select(F.concat(p, "head").alias("source"), "relation", F.concat(p, "tail").alias("target"), F.lit(graph).alias("source_kg"))
-
-
 PROPERTY_NODE = "identifier string, kind string, name string, data map<string,string>"
 PROPERTY_EDGE = "source_id array<string>, target_id array<string>, kind string, direction string, data map<string,string>"
 
