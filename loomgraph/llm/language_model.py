@@ -1,21 +1,22 @@
-"""Log-probabilities of texts by interpolated n-gram counts, as a weighted backoff automaton would give them.
-
-With Dirichlet smoothing, P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), every weight of such an automaton follows from
-counts, and the probabilities add up to one for every history without pruning. No automaton is built: there are no
-states, failure arcs or carried state. The counts of all orders are looked up at every position and interpolated
-from the shortest history to the longest, which gives the same numbers for this smoothing.
-
-The counts grow with the corpus, so no task holds them whole. Documents are dealt into blocks of
-bounded size. A block sends the n-grams it has, once each, with its own training counts; the counts
-are added up by n-gram; a block gets back only totals that differ from its own. With these it has
-the counts of all n-grams of its texts. N-grams travel by slots of the range
-of their hashes, sorted and packed: many keys of one block in one row, in half the bytes of rows of
-their own.
+"""Log-probabilities of texts by a weighted backoff automaton over smoothed n-gram counts.
+
+Dirichlet smoothing, P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), makes a backoff model: where hw was seen, an arc from
+state h carries log P(w | h); where it was not, P(w | h) is m / (c(h) + m) times P(w | h'), so one failure arc a state
+carries that factor and leads to the state of h'. States are the histories that were seen; the root has an arc for every
+word. A text is read once from left to right: the state is carried, arcs that are missing are made up for by failure arcs,
+and the weights add up.
+
+The counts grow with the corpus, so no task holds them whole. Documents are dealt into blocks of bounded size. A block
+sends the n-grams it has, once each, with its own training counts; slots (ranges of their hashes) add them up and answer
+each pack with what the other blocks have, in the order of its keys. With these totals a block builds the part of the
+automaton that its texts can reach. Only packs that hold a key travel, so at the far end a pack is a row of one n-gram.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import fold, pieces, texts, words
 
 #: The end of a text, which also stands before its first word; no word is a line feed.
-END = xxhash.xxh3_64_intdigest(b"\n")
-_HELD = 1 << 22
+END = b"\n"
+#: Keys that one merge of a slot holds, about.
+_MERGED = 1 << 22
+#: Tokens that a text is read for before the next lane takes over.
+_STRETCH = 256
+PACKED = "block int, docs binary"
 PACK = "slot int, block int, keys binary, counts binary"
-ANSWER = "block int, keys binary, counts binary, train_tokens long, types long"
+ANSWER = "slot int, block int, others binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -52,179 +57,293 @@ def _keys(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, the end of each text included, and the number of tokens of each text."""
-    lists = [words(t) for t in batch]
-    size = np.array([len(x) + 1 for x in lists], np.int64)
-    flat = np.full(int(size.sum()), END, np.uint64)
-    at = 0
-    for found in lists:
-        flat[at : at + len(found)] = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-        at += len(found) + 1
-    return flat, size
+def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers of all tokens, hash of each word, tokens of each text); every text ends with word 0, the end."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    number[END] = 0
+    size = np.empty(len(batch), np.int64)
+    flat = []
+    for i, text in enumerate(batch):
+        found = words(text)
+        found.append(END)
+        size[i] = len(found)
+        flat.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+    return np.concatenate(flat) if flat else np.empty(0, np.int64), hashes, size
 
 
 def grams(flat: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the key of the n-gram that ends at each token, and whether the text has one there.
+    """For each n: the key of the n-gram that ends at each token (of hashes), and whether the text has one there.
 
     The token before a text's first is the end mark. Keys have their lowest bit set for n = 1 only.
     """
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    first = np.cumsum(size) - size
+    place = np.arange(len(flat)) - np.repeat(first, size)
     run, out = flat, [(flat | np.uint64(1), np.ones(len(flat), bool))]
     for n in range(2, order + 1):
-        before = np.r_[np.uint64(END), run[:-1]]
+        before = np.r_[np.uint64(0), run[:-1]]
         if n == 2:
-            before[place == 0] = END
+            before[first] = np.uint64(xxhash.xxh3_64_intdigest(END))
         run = before * np.uint64(0x9E3779B97F4A7C15) + flat
         run = (run ^ run >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
         out.append((run & ~np.uint64(1) | np.uint64(4), place >= n - 2))
     return out
 
 
-def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and how often each is a training one."""
-    found, back = np.unique(keys, return_inverse=True)
-    return found, np.bincount(back, weights=train, minlength=len(found)).astype(np.int64)
-
-
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return default
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+def _opened(docs: list[bytes]) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(d).read_all() for d in docs)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block, compressed together: texts travel in half the bytes."""
+    how = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for part in pieces(batch):
+            of = part["block"].to_numpy()
+            by = np.argsort(of, kind="stable")
+            cut = np.flatnonzero(np.diff(of[by], prepend=-1))
+            rows = part.drop_columns(["block"]).take(pa.array(by))
+            found = []
+            for a, b in zip(cut, np.r_[cut[1:], len(by)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=how) as out:
+                    out.write_batch(rows.slice(a, b - a))
+                found.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of[by][cut], pa.int32()), pa.array(found, pa.binary())], ["block", "docs"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of training texts, once for each piece of a batch, with their counts."""
+    for batch in batches:
+        for part in pieces(batch, chars=1 << 24):
+            flat, hashes, _ = tokens(part["text"].to_pylist())
+            n = np.bincount(flat, minlength=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], ["word", "n"])
+
+
+@dataclass
+class _Block:
+    """Rows of a block, its n-grams by order and all their keys in order, with the block's own training counts."""
+
+    rows: pa.Table
+    flat: np.ndarray
+    size: np.ndarray
+    of: list[np.ndarray]  # for each n: the n-gram that ends at each token, or -1
+    at: list[np.ndarray]  # for each n: where its n-grams stand in keys
+    keys: np.ndarray
+    own: np.ndarray
+
+
+def _block(table: pa.Table, order: int) -> _Block:
+    rows = _opened(table["docs"].to_pylist())
+    flat, hashes, size = tokens(rows["text"].to_pylist())
+    rows = rows.drop_columns(["text"])
+    learns = np.repeat(rows["train"].to_numpy(), size)
+    of, found, counts = [], [], []
+    for key, ok in grams(hashes[flat], size, order):
+        distinct, back = np.unique(key[ok], return_inverse=True)
+        found.append(distinct)
+        counts.append(np.bincount(back, weights=learns[ok], minlength=len(distinct)).astype(np.int64))
+        mine = np.full(len(flat), -1, np.int64)
+        mine[ok] = back
+        of.append(mine)
+    keys = np.unique(np.concatenate(found))
+    at = [np.searchsorted(keys, k) for k in found]
+    own = np.zeros(len(keys), np.int64)
+    for place, n in zip(at, counts):
+        own[place] += n
+    return _Block(rows, flat, size, of, at, keys, own)
 
 
 def _emit(order: int, bits: int):
-    """Packed distinct keys of each block, slot by slot; a block that is long comes in several packs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def flush():
-            for block, parts in held.items():
-                keys, n = _counted(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
-                slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(slot, prepend=-1))
-                rows = [(int(slot[a]), block, packed(_steps(keys[a:b])), packed(n[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(keys)])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["slot", "block", "keys", "counts"]
-                )
-
-        for batch in batches:
-            for part in pieces(batch):
-                of = part["block"].to_numpy()
-                train = part["train"].to_numpy(zero_copy_only=False)
-                flat, n = tokens(part["text"].to_pylist())
-                by_token, learns = np.repeat(of, n), np.repeat(train, n)
-                for block in np.unique(of):
-                    mine = by_token == block
-                    held.setdefault(int(block), []).extend((k[ok & mine], learns[ok & mine]) for k, ok in grams(flat, n, order))
-                size += len(flat)
-            if size > _HELD:
-                yield from flush()
-                held, size = {}, 0
-        yield from flush()
-
-    return run
-
-
-def _merge(blocks: int):
-    """Totals of a slot's keys, sent to each block where they exceed its own counts, with the slot's sums."""
+    """Packs of a block's distinct n-grams, one for each slot that has any, in the order of slots."""
 
     def run(table: pa.Table) -> pa.Table:
-        of = table["block"].to_numpy()
-        keys = [_keys(unpacked(x)) for x in table["keys"].to_pylist()]
-        own = [unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
-        found, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate(own), minlength=len(found)).astype(np.int64)
-        single = found & np.uint64(1) == 1
-        sums = int(total[single].sum()), int((total[single] > 0).sum())
-        ends = np.cumsum([len(k) for k in keys])
-        send: dict[int, list[np.ndarray]] = {b: [] for b in range(blocks)}
-        for block, end, mine in zip(of, ends, own):
-            at = back[end - len(mine) : end]
-            send[int(block)].append(at[total[at] > mine])
-        rows = []
-        for block, parts in send.items():
-            at = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-            rows.append((block, packed(_steps(found[at])), packed(total[at]), *sums))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["block", "keys", "counts", "train_tokens", "types"])
+        block = _block(table, order)
+        slot = (block.keys >> np.uint64(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(slot, prepend=-1))
+        ends = np.r_[cut[1:], len(slot)]
+        return pa.table({
+            "slot": pa.array(slot[cut], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(cut), pa.int32()),
+            "keys": pa.array([packed(_steps(block.keys[a:b])) for a, b in zip(cut, ends)], pa.binary()),
+            "counts": pa.array([packed(block.own[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+        })
 
     return run
 
 
-def _score(order: int, prior: float):
+def _merge(table: pa.Table) -> pa.Table:
+    """For each pack of a slot: what the other packs count for its keys."""
+    keys = [_keys(unpacked(x)) for x in table["keys"].to_pylist()]
+    own = [unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
+    found = np.unique(np.concatenate(keys))
+    at = [np.searchsorted(found, k).astype(np.int32) for k in keys]
+    del keys
+    total = np.zeros(len(found), np.int64)
+    for place, n in zip(at, own):  # keys of a pack are distinct
+        total[place] += n
+    others = [packed(total[place] - n) for place, n in zip(at, own)]
+    return pa.table({"slot": table["slot"], "block": table["block"], "others": pa.array(others, pa.binary())})
+
+
+@dataclass
+class Automaton:
+    """States are numbered from the root, 0. An arc is named by state * words + word; the root's arcs are by word."""
+
+    words: int
+    arcs: np.ndarray
+    weight: np.ndarray
+    follow: np.ndarray
+    root_weight: np.ndarray
+    root_follow: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+
+    def read(self, states: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, weights) of states that each read one word; failure arcs are followed up to an arc for it."""
+        follow, weight = np.empty_like(states), np.zeros(len(states))
+        left, now = np.arange(len(states)), states
+        while len(left):
+            root = now == 0
+            if root.any():
+                here = left[root]
+                follow[here] = self.root_follow[word[here]]
+                weight[here] += self.root_weight[word[here]]
+                left, now = left[~root], now[~root]
+                if not len(left):
+                    break
+            code = now * self.words + word[left]
+            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
+            hit = self.arcs[at] == code if len(self.arcs) else np.zeros(len(left), bool)
+            follow[left[hit]] = self.follow[at[hit]]
+            weight[left[hit]] += self.weight[at[hit]]
+            left, now = left[~hit], now[~hit]
+            weight[left] += self.fail_weight[now]
+            now = self.fail[now]
+        return follow, weight
+
+
+def automaton(block: _Block, counts: list[np.ndarray], prior: float, scale: float) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that the texts of a block can reach, from the total counts of its n-grams by order; and the counts of its words."""
+    first = np.cumsum(block.size) - block.size
+    vocabulary = int(block.flat.max()) + 1
+    # the n-gram of order 1 of every word
+    gram = np.zeros(vocabulary, np.int64)
+    gram[block.flat] = block.of[0]
+    total = counts[0]
+    p = (total + 0.5) / scale
+    root_p, root_count = p[gram], total[gram]
+    made = 1
+    fail, fail_weight = [np.zeros(1, np.int64)], [np.zeros(1)]
+    arcs, weights, follows = [], [], []
+
+    def states(total: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """Numbers of the n-grams that were seen; the others stand for the state of what is left without their first word."""
+        nonlocal made
+        seen = np.flatnonzero(total > 0)
+        number = behind.copy()
+        number[seen] = made + np.arange(len(seen))
+        fail.append(behind[seen])
+        fail_weight.append(np.log10(prior / (total[seen] + prior)))
+        made += len(seen)
+        return number
+
+    longest = len(counts)
+    of_state = states(total, np.zeros(len(total), np.int64)) if longest > 1 else np.zeros(len(total), np.int64)
+    root_follow = of_state[gram]
+    for n in range(1, longest):
+        of, below, now = block.of[n], block.of[n - 1], counts[n]
+        here = np.flatnonzero(of >= 0)
+        before = below[here - 1]
+        if n == 1:
+            before[np.searchsorted(here, first)] = gram[0]
+        head, tail, last = (np.zeros(len(now), np.int64) for _ in range(3))
+        head[of[here]], tail[of[here]], last[of[here]] = before, below[here], block.flat[here]
+        p = (now + prior * p[tail]) / (total[head] + prior)
+        behind = of_state[tail]
+        follow = states(now, behind) if n + 1 < longest else behind
+        seen = now > 0
+        arcs.append(of_state[head][seen] * vocabulary + last[seen])
+        weights.append(np.log10(p[seen]))
+        follows.append(follow[seen])
+        of_state, total = follow, now
+    code = np.concatenate(arcs) if arcs else np.empty(0, np.int64)
+    by = np.argsort(code)
+    join = lambda x: np.concatenate(x)[by] if x else np.empty(0)
+    return Automaton(
+        vocabulary, code[by], join(weights), join(follows).astype(np.int64), np.log10(root_p), root_follow,
+        np.concatenate(fail), np.concatenate(fail_weight),
+    ), root_count
+
+
+def traversed(machine: Automaton, flat: np.ndarray, size: np.ndarray, order: int, stretch: int = _STRETCH) -> np.ndarray:
+    """Log-probability of each text, read from left to right with the state carried along.
+
+    All texts are read in step. A long one is read in stretches: a state depends on the last order - 1 tokens only, so a
+    lane that starts that many tokens early at the root, without adding up their weights, arrives at the same state.
+    """
+    lanes = -(-size // stretch)
+    text = np.repeat(np.arange(len(size)), lanes)
+    within = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * stretch
+    begin = np.repeat(np.cumsum(size) - size, lanes) + within
+    length = np.minimum(stretch, np.repeat(size, lanes) - within)
+    state = np.where(within == 0, machine.root_follow[0], 0)  # the end mark stands before the first word
+    warm = np.flatnonzero(within > 0)
+    for back in range(order - 1, 0, -1):
+        state[warm], _ = machine.read(state[warm], flat[begin[warm] - back])
+    by = np.argsort(-length, kind="stable")
+    begin, length, state = begin[by], length[by], state[by]
+    score = np.zeros(len(text))
+    for step in range(int(length[0]) if len(length) else 0):
+        active = int(np.searchsorted(-length, -step))  # lanes with more than ``step`` tokens
+        state[:active], weight = machine.read(state[:active], flat[begin[:active] + step])
+        score[:active] += weight
+    return np.bincount(text[by], weights=score, minlength=len(size))
+
+
+def _score(order: int, prior: float, train_tokens: int, types: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = np.concatenate([np.empty(0, np.uint64), *(_keys(unpacked(x)) for x in right["keys"].to_pylist())])
-        total = np.concatenate([np.empty(0, np.int64), *(unpacked(x).astype(np.int64) for x in right["counts"].to_pylist())])
-        by = np.argsort(key, kind="stable")  # slots come in any order
-        key, total = key[by], total[by]
-        tokens_n, types = (int(right[c].to_numpy().sum()) for c in ("train_tokens", "types"))
-        counts: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * order
-        batches = [(p["doc_id"], p["train"].to_numpy(zero_copy_only=False), *tokens(p["text"].to_pylist())) for b in left.to_batches() for p in pieces(b)]
-        none = left["doc_id"].slice(0, 0)
-        del left
-        for i in range(order):  # what the block itself has learned
-            seen = []
-            for _, train, flat, n in batches:
-                k, ok = grams(flat, n, i + 1)[i]
-                seen.append(k[ok & np.repeat(train, n)])
-            counts[i] = np.unique(np.concatenate(seen), return_counts=True) if seen else counts[i]
-        del seen
-
-        def count(i: int, wanted: np.ndarray) -> np.ndarray:
-            return _look(key, total, wanted, _look(*counts[i], wanted, np.zeros(len(wanted), np.int64)))
-
-        scale = tokens_n + 0.5 * (types + 1)
-        rows = []
-        for ids, _, flat, n in batches:
-            first = np.cumsum(n) - n
-            found = grams(flat, n, order)
-            c = count(0, found[0][0])
-            base = np.log10((c + 0.5) / scale)
-            p = (c + 0.5) / scale
-            history = c
-            for i in range(1, order):  # from the shortest history to the longest that the text has here
-                k, ok = found[i]
-                arc = count(i, k)
-                state = np.r_[0, history[:-1]]
-                if i == 1:
-                    state[first] = count(0, np.array([END | 1], np.uint64))[0] if len(first) else 0
-                p = np.where(ok, (arc + prior * p) / (state + prior), p)
-                history = np.where(ok, arc, 0)
-            rows.append(pa.table({
-                "doc_id": ids, "n_tokens": pa.array(n),
-                "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(len(n), tokens_n)),
-                "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(np.log10(p), first)),
-            }))
-        return pa.concat_tables(rows) if rows else pa.table({"doc_id": none, **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
+        block = _block(left, order)
+        answers = right.sort_by("slot")["others"].to_pylist()
+        block.own += np.concatenate([unpacked(x).astype(np.int64) for x in answers])
+        machine, known = automaton(block, [block.own[at] for at in block.at], prior, train_tokens + 0.5 * (types + 1))
+        first = np.cumsum(block.size) - block.size
+        return pa.table({
+            "doc_id": block.rows["doc_id"], "n_tokens": pa.array(block.size),
+            "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64)[block.flat], first)),
+            "train_tokens": pa.array(np.full(len(first), train_tokens, np.int64)),
+            "base_score": pa.array(np.add.reduceat(machine.root_weight[block.flat], first)),
+            "score": pa.array(traversed(machine, block.flat, block.size, order)),
+        })
 
     return run
 
 
-def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior: float = 100.0, block_chars: int = 1 << 23) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior: float = 100.0, block_chars: int = 3 << 22) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Counts are learned from the rows whose fold is not ``out``. A null or empty text is its end mark
     alone (one token). Rows that repeat an id are learned and scored each; a null id is a training
     row. Without training rows all counts are zero and the base probability is one per token. An
-    empty table gives an empty result. Keys of n-grams are 64-bit hashes.
+    empty table gives an empty result; other columns are left aside; long texts are read whole (a
+    block holds one text at least). Keys of n-grams are 64-bit hashes.
     """
     source = texts(docs)
+    train = F.coalesce(fold(F.col("doc_id"), folds) != out, F.lit(True))
+    learned = source.where(train).select("text").mapInArrow(_learned, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    types, train_tokens = (int(x or 0) for x in learned.agg(F.count("*"), F.sum("n")).first())
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(1 + chars // block_chars)
-    dealt = source.select(
-        "doc_id", "text", F.coalesce(fold(F.col("doc_id"), folds) != out, F.lit(True)).alias("train"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
-    ).repartition(blocks, "block")
-    bits = (8 * blocks).bit_length()
-    answers = (
-        dealt.mapInArrow(_emit(order, bits), PACK).groupBy("slot").applyInArrow(_merge(blocks), ANSWER)
+    dealt = (
+        source.select("doc_id", "text", train.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+        .mapInArrow(_packs, PACKED).repartition(blocks, "block")
     )
+    # a token, about six characters, stands for one n-gram of each order at most: this bounds the keys of a slot
+    bits = max(1, int(order * chars // 6 // _MERGED).bit_length())
+    answers = dealt.groupBy("block").applyInArrow(_emit(order, bits), PACK).groupBy("slot").applyInArrow(_merge, ANSWER)
     key = source.schema["doc_id"].dataType.simpleString()
     result = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(order, prior), f"doc_id {key}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(order, prior, train_tokens, types), f"doc_id {key}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return result.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), folds) == out, F.lit(False)))

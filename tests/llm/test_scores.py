@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import language_model, quality, tiling, toxicity
@@ -106,6 +107,27 @@ def test_the_query_sees_more_than_the_word_before(spark):
     assert score[asked[0]] > score[asked[1]] + 0.1
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("stretch", [4, 7, 256])
+def test_stretches_carry_the_state(order, stretch):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 3, 4, 5, 30, 200, 11)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": texts, "train": [not held_out(i, 5, 1) for i, _ in rows]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    block = language_model._block(pa.table({"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())}), order)
+    want = [r[-1] for r in plain_scores(rows, order, 3.0)]
+    learned = Counter(w for i, t in rows if not held_out(i, 5, 1) for w in [*words(t), b"\n"])
+    machine, known = language_model.automaton(
+        block, [block.own[at] for at in block.at], 3.0, sum(learned.values()) + 0.5 * (len(learned) + 1)
+    )
+    assert language_model.traversed(machine, block.flat, block.size, order, stretch) == pytest.approx(want, rel=1e-9)
+    assert sorted(known[known > 0]) == sorted(learned.values())
+    assert (machine.fail < np.arange(len(machine.fail)) + (np.arange(len(machine.fail)) == 0)).all()  # failure leads to a shorter history
+
+
 def plain_tiles(doc, item, tile):
     """Greedy string tiling as it is defined: look for the longest free match again and again."""
     free_d, free_i, covered = [True] * len(doc), [True] * len(item), 0
