@@ -44,6 +44,14 @@ def pieces(batch: pa.RecordBatch, text: str = "text", chars: int = 1 << 22) -> I
         start = end
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have (names that differ in case only are the same)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame, least: int = 1) -> int:
     """Partitions for a shuffle by key: as the session sets them."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import texts
+from loomgraph.llm.common import fresh, texts
 from loomgraph.session import cut_lineage
 
 
@@ -90,16 +90,18 @@ def groups(df: DataFrame, text: str = "text", key: str = "doc_id", counters: int
 
 def deduplicated(docs: DataFrame, counters: int = 256) -> DataFrame:
     """One row of ``docs`` of each group stays, with all its columns: one with the smallest id, or with a null id where
-    the group has no other."""
+    the group has no other. Columns of ``docs`` may have any names beside doc_id and text."""
     mine = groups(docs, counters=counters)
+    sha, kept = fresh(docs, "sha"), fresh(docs, "kept")
     stay = (
         mine.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count("*").alias("_kept_rows"))
+        .groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+        .select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "rows").alias(kept))
     )
-    named = docs.withColumn("_sha", _sha(F.coalesce(F.col("text"), F.lit(""))))
-    found = named.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
+    named = docs.withColumn(sha, _sha(F.coalesce(F.col("text"), F.lit(""))))
+    found = named.join(stay, F.col("doc_id").eqNullSafe(F.col(f"{kept}.id")) & (F.col(sha) == F.col(f"{kept}.sha")))
     # only rows that repeat id and text are dealt once more
-    return found.where("_kept_rows = 1").unionByName(found.where("_kept_rows > 1").dropDuplicates(["_sha"])).select(*docs.columns)
+    return found.where(f"{kept}.rows = 1").unionByName(found.where(f"{kept}.rows > 1").dropDuplicates([sha])).select(*docs.columns)
 
 
 SQL = r"""

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import partitions, pieces, texts, words
+from loomgraph.llm.common import fresh, partitions, pieces, texts, words
 from loomgraph.llm.components import components
 from loomgraph.session import cut_lineage
 
@@ -211,6 +212,18 @@ def links(nodes: DataFrame, distance: int = 3, cell: int = 4096) -> DataFrame:
     )
 
 
+def _grouped(df: DataFrame, text: str, key: str, size: int, distance: int) -> DataFrame:
+    """(doc_id, fp, component_id, root) for every row; root is a fingerprint that names the component."""
+    table = cut_lineage(fingerprints(df, text, key, size))
+    nodes = cut_lineage(table.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    # nodes are named by their fingerprint; ids come back in the end
+    roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
+    joined = cut_lineage(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
+                         .select("fp", "doc_id", F.coalesce("root", "fp").alias("root")))
+    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return table.join(joined.join(smallest, "root").select("fp", "component_id", "root"), "fp")
+
+
 def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -218,21 +231,40 @@ def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", size: in
     ``distance`` bits. Texts without words (null, empty, white space) have fingerprint zero, linked
     like any other. Rows that repeat an id count as documents of their own with equal ids; a null id
     gets the smallest other id of its component, or null. Equal fingerprints become one node first,
-    so a group of exact copies costs one row.
+    so a group of exact copies costs one row. Long texts are read whole; other columns are left
+    aside; an empty table gives an empty result.
     """
-    table = cut_lineage(fingerprints(df, text, key, size))
-    nodes = cut_lineage(table.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    # nodes are named by their fingerprint; ids come back in the end
-    roots = components(links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
-    joined = cut_lineage(nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-                         .select("fp", "doc_id", F.coalesce("root", "fp").alias("root")))
-    smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return table.join(joined.join(smallest, "root").select("fp", "component_id"), "fp").select(
+    return _grouped(df, text, key, size, distance).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the one with the smallest id, with all its columns."""
-    stay = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+def deduplicated(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each group stays, with all its columns: one with the smallest id, or with a null id where no row of the
+    group has another.
+
+    Rows that repeat an id are told apart by their fingerprints; of rows with equal id and fingerprint one stays. An empty
+    table gives an empty result; columns may have any names beside doc_id and text.
+    """
+    mine = cut_lineage(_grouped(docs, "text", "doc_id", size, distance))
+    again = mine.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again"), "rows")
+    kept, own = fresh(docs, "kept"), fresh(docs, "fp")
+    stay = (
+        mine.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root").agg(F.first("doc_id").alias("id"), F.min("fp").alias("fp"))  # all rows of a root have one id here
+        .join(again, F.col("id").eqNullSafe(F.col("again")), "left")
+        .select(F.struct("id", "fp", F.col("rows").isNull().alias("lone")).alias(kept))
+    )
+    found = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(f"{kept}.id")))
+    rest = found.where(~F.col(f"{kept}.lone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                fp = np.array([fingerprint(t or "", size) for t in part["text"].to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], [*part.schema.names, own])
+
+    # only rows whose id repeats are looked at once more
+    told = rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(own, T.LongType())]))
+    one = told.where(F.col(own) == F.col(f"{kept}.fp")).dropDuplicates(["doc_id", own])
+    return found.where(f"{kept}.lone").select(*docs.columns).unionByName(one.select(*docs.columns))

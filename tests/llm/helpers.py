@@ -12,7 +12,7 @@ ODD = [
     (8, LONG), (9, LONG + " end"), (10, "naïve Σ ΟΔΟΣ 中文 😀 don't <|endoftext|> x"), (11, "a@b.cc +1 (555) 123-4567 10.0.0.1 4111 1111 1111 1111"), (None, "the same text here now"), (None, None),
 ]
 #: Names that operators use inside.
-CLASHES = ["digest", "fp", "key", "block", "score", "kept", "place", "label", "component_id", "spans", "n_tokens", "_stay", "_id", "lang"]
+CLASHES = ["digest", "fp", "key", "block", "score", "kept", "place", "label", "component_id", "spans", "n_tokens", "_stay", "_id", "lang", "sha", "_sha", "_kept_id", "rows", "train"]
 
 
 def odd(spark):

@@ -119,3 +119,17 @@ def test_near_groups(spark):
     want = groups(links, [i for i, _ in rows])
     got = simhash.near_groups(docs).collect()
     assert sorted((r[0], r[1], r[2]) for r in got) == sorted((i, f"{f:016x}", want[i]) for i, f in fps)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    docs = spark.createDataFrame([(0, b), (1, a), (1, b), (None, "x y"), (None, "x y"), (2, None), (3, "")], "doc_id long, text string")
+    got = sorted(((r[0], r[1] or "") for r in simhash.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(0, b), (1, a), (None, "x y"), (2, "")], key=str)
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_columns_of_the_table_come_back_as_they_were(spark):
+    docs = spark.createDataFrame([(0, "a", "x", 1), (1, "a", "y", 2), (2, "b c", "z", 3)], "doc_id long, text string, sha string, kept int").withColumnRenamed("kept", "Kept")
+    for how in (exact, simhash):
+        assert sorted(map(tuple, how.deduplicated(docs).collect())) == [(0, "a", "x", 1), (2, "b c", "z", 3)]
