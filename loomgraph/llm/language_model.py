@@ -14,18 +14,18 @@ automaton that its texts can reach. Only packs that hold a key travel, so at the
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import fold, pieces, texts, words
+from loomgraph.llm.common import fold, pieces, texts
 
 #: The end of a text, which also stands before its first word; no word is a line feed.
 END = b"\n"
@@ -57,20 +57,26 @@ def _keys(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
-def tokens(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word numbers of all tokens, hash of each word, tokens of each text); every text ends with word 0, the end."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    number[END] = 0
-    size = np.empty(len(batch), np.int64)
-    flat = []
-    for i, text in enumerate(batch):
-        found = words(text)
-        found.append(END)
-        size[i] = len(found)
-        flat.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
-    return np.concatenate(flat) if flat else np.empty(0, np.int64), hashes, size
+def _distinct(values: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """Sorted distinct values, by a sort (many times faster than a hash table of them)."""
+    values = np.sort(values, kind=kind)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def tokens(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers of all tokens, hash of each word, tokens of each text); every text ends with word 0, the end.
+
+    Arrow's ASCII functions lower A-Z and split at the six ASCII white spaces only.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(batch)))
+    found = split.flatten()
+    real = pc.not_equal(found, "")
+    text = pc.list_parent_indices(split).filter(real).to_numpy()
+    coded = found.filter(real).dictionary_encode()
+    flat = np.zeros(len(text) + len(batch), np.int64)
+    flat[np.arange(len(text)) + text] = coded.indices.to_numpy() + 1
+    names = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+    return flat, np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)), np.bincount(text, minlength=len(batch)) + 1
 
 
 def grams(flat: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -113,13 +119,37 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(of[by][cut], pa.int32()), pa.array(found, pa.binary())], ["block", "docs"])
 
 
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of training texts, once for each piece of a batch, with their counts."""
-    for batch in batches:
-        for part in pieces(batch, chars=1 << 24):
-            flat, hashes, _ = tokens(part["text"].to_pylist())
-            n = np.bincount(flat, minlength=len(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], ["word", "n"])
+def _packs_of(keys: np.ndarray, counts: np.ndarray, block: int, bits: int) -> list[pa.Array]:
+    """Columns of PACK: sorted keys by slots, for each slot that has any."""
+    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(slot, prepend=-1))
+    ends = np.r_[cut[1:], len(slot)]
+    return [
+        pa.array(slot[cut], pa.int32()), pa.array(np.full(len(cut), block), pa.int32()),
+        pa.array([packed(_steps(keys[a:b])) for a, b in zip(cut, ends)], pa.binary()),
+        pa.array([packed(counts[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+    ]
+
+
+def _learned(bits: int):
+    """Packs of the words of training texts, once for each piece of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, chars=1 << 24):
+                flat, hashes, _ = tokens(part["text"])
+                n = np.bincount(flat, minlength=len(hashes))
+                by = np.argsort(hashes)
+                yield pa.RecordBatch.from_arrays(_packs_of(hashes[by], n[by], 0, bits), ["slot", "block", "keys", "counts"])
+
+    return run
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Distinct words of a slot, and how many tokens they are."""
+    types = len(_distinct(np.concatenate([_keys(unpacked(x)) for x in table["keys"].to_pylist()])))
+    n = sum(int(unpacked(x).sum()) for x in table["counts"].to_pylist())
+    return pa.table({"types": pa.array([types], pa.int64()), "n": pa.array([n], pa.int64())})
 
 
 @dataclass
@@ -137,19 +167,23 @@ class _Block:
 
 def _block(table: pa.Table, order: int) -> _Block:
     rows = _opened(table["docs"].to_pylist())
-    flat, hashes, size = tokens(rows["text"].to_pylist())
+    flat, hashes, size = tokens(rows["text"].combine_chunks())
     rows = rows.drop_columns(["text"])
     learns = np.repeat(rows["train"].to_numpy(), size)
     of, found, counts = [], [], []
-    for key, ok in grams(hashes[flat], size, order):
-        distinct, back = np.unique(key[ok], return_inverse=True)
+    for n, (key, ok) in enumerate(grams(hashes[flat], size, order)):
+        if n:
+            distinct, back = np.unique(key[ok], return_inverse=True)
+        else:  # each word once is enough
+            distinct, back = np.unique(hashes | np.uint64(1), return_inverse=True)
+            back = back[flat]
         found.append(distinct)
         counts.append(np.bincount(back, weights=learns[ok], minlength=len(distinct)).astype(np.int64))
-        mine = np.full(len(flat), -1, np.int64)
+        mine = np.full(len(flat), -1, np.int32)
         mine[ok] = back
         of.append(mine)
-    keys = np.unique(np.concatenate(found))
-    at = [np.searchsorted(keys, k) for k in found]
+    keys = _distinct(np.concatenate(found), "stable")  # which merges sorted runs
+    at = [np.searchsorted(keys, k).astype(np.int32) for k in found]
     own = np.zeros(len(keys), np.int64)
     for place, n in zip(at, counts):
         own[place] += n
@@ -161,14 +195,7 @@ def _emit(order: int, bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         block = _block(table, order)
-        slot = (block.keys >> np.uint64(64 - bits)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(slot, prepend=-1))
-        ends = np.r_[cut[1:], len(slot)]
-        return pa.table({
-            "slot": pa.array(slot[cut], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(cut), pa.int32()),
-            "keys": pa.array([packed(_steps(block.keys[a:b])) for a, b in zip(cut, ends)], pa.binary()),
-            "counts": pa.array([packed(block.own[a:b]) for a, b in zip(cut, ends)], pa.binary()),
-        })
+        return pa.table(_packs_of(block.keys, block.own, table["block"][0].as_py(), bits), ["slot", "block", "keys", "counts"])
 
     return run
 
@@ -177,7 +204,7 @@ def _merge(table: pa.Table) -> pa.Table:
     """For each pack of a slot: what the other packs count for its keys."""
     keys = [_keys(unpacked(x)) for x in table["keys"].to_pylist()]
     own = [unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
-    found = np.unique(np.concatenate(keys))
+    found = _distinct(np.concatenate(keys))
     at = [np.searchsorted(found, k).astype(np.int32) for k in keys]
     del keys
     total = np.zeros(len(found), np.int64)
@@ -187,12 +214,23 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"slot": table["slot"], "block": table["block"], "others": pa.array(others, pa.binary())})
 
 
+def _slots(names: np.ndarray, size: int) -> np.ndarray:
+    """Hashed places in a table whose size is a power of two, at most 2^32."""
+    return (names.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & (size - 1)
+
+
 @dataclass
 class Automaton:
-    """States are numbered from the root, 0. An arc is named by state * words + word; the root's arcs are by word."""
+    """States are numbered from the root, 0. An arc is named by state * words + word; the root's arcs are by word.
+
+    ``place`` has one arc for each hashed slot of names; arcs that found theirs taken are in ``rest``, sorted by name.
+    """
 
     words: int
     arcs: np.ndarray
+    place: np.ndarray
+    rest: np.ndarray
+    rest_names: np.ndarray
     weight: np.ndarray
     follow: np.ndarray
     root_weight: np.ndarray
@@ -200,6 +238,19 @@ class Automaton:
     fail: np.ndarray
     fail_weight: np.ndarray
 
+    def find(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of the arcs of these names, or -1."""
+        if not len(self.arcs):
+            return np.full(len(names), -1)
+        at = self.place[_slots(names, len(self.place))].astype(np.int64)
+        other = np.flatnonzero((self.arcs[at] != names) & (at >= 0))
+        at[other] = -1
+        if len(self.rest) and len(other):
+            names = names[other]
+            near = self.rest[np.minimum(np.searchsorted(self.rest_names, names), len(self.rest) - 1)]
+            at[other] = np.where(self.arcs[near] == names, near, -1)
+        return at
+
     def read(self, states: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next states, weights) of states that each read one word; failure arcs are followed up to an arc for it."""
         follow, weight = np.empty_like(states), np.zeros(len(states))
@@ -213,9 +264,8 @@ class Automaton:
                 left, now = left[~root], now[~root]
                 if not len(left):
                     break
-            code = now * self.words + word[left]
-            at = np.minimum(np.searchsorted(self.arcs, code), len(self.arcs) - 1)
-            hit = self.arcs[at] == code if len(self.arcs) else np.zeros(len(left), bool)
+            at = self.find(now * self.words + word[left])
+            hit = at >= 0
             follow[left[hit]] = self.follow[at[hit]]
             weight[left[hit]] += self.weight[at[hit]]
             left, now = left[~hit], now[~hit]
@@ -268,12 +318,15 @@ def automaton(block: _Block, counts: list[np.ndarray], prior: float, scale: floa
         weights.append(np.log10(p[seen]))
         follows.append(follow[seen])
         of_state, total = follow, now
-    code = np.concatenate(arcs) if arcs else np.empty(0, np.int64)
-    by = np.argsort(code)
-    join = lambda x: np.concatenate(x)[by] if x else np.empty(0)
+    names, number = np.concatenate([np.empty(0, np.int64), *arcs]), np.arange(sum(map(len, arcs)), dtype=np.int32)
+    place = np.full(1 << (2 * len(names)).bit_length(), -1, np.int32)
+    slot = _slots(names, len(place))
+    place[slot] = number
+    rest = np.flatnonzero(place[slot] != number)
+    rest = rest[np.argsort(names[rest])]
     return Automaton(
-        vocabulary, code[by], join(weights), join(follows).astype(np.int64), np.log10(root_p), root_follow,
-        np.concatenate(fail), np.concatenate(fail_weight),
+        vocabulary, names, place, rest, names[rest], np.concatenate([np.empty(0), *weights]),
+        np.concatenate([np.empty(0, np.int64), *follows]), np.log10(root_p), root_follow, np.concatenate(fail), np.concatenate(fail_weight),
     ), root_count
 
 
@@ -320,7 +373,7 @@ def _score(order: int, prior: float, train_tokens: int, types: int):
     return run
 
 
-def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior: float = 100.0, block_chars: int = 3 << 22) -> DataFrame:
+def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior: float = 100.0, block_chars: int = 1 << 23) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Counts are learned from the rows whose fold is not ``out``. A null or empty text is its end mark
@@ -331,16 +384,16 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior:
     """
     source = texts(docs)
     train = F.coalesce(fold(F.col("doc_id"), folds) != out, F.lit(True))
-    learned = source.where(train).select("text").mapInArrow(_learned, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    types, train_tokens = (int(x or 0) for x in learned.agg(F.count("*"), F.sum("n")).first())
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    # a token, about six characters, stands for one n-gram of each order at most: this bounds the keys of a slot
+    bits = max(1, int(order * chars // 6 // _MERGED).bit_length())
+    learned = source.where(train).select("text").mapInArrow(_learned(bits), PACK).groupBy("slot").applyInArrow(_sums, "types long, n long")
+    types, train_tokens = (int(x or 0) for x in learned.agg(F.sum("types"), F.sum("n")).first())
     blocks = int(1 + chars // block_chars)
     dealt = (
         source.select("doc_id", "text", train.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
         .mapInArrow(_packs, PACKED).repartition(blocks, "block")
     )
-    # a token, about six characters, stands for one n-gram of each order at most: this bounds the keys of a slot
-    bits = max(1, int(order * chars // 6 // _MERGED).bit_length())
     answers = dealt.groupBy("block").applyInArrow(_emit(order, bits), PACK).groupBy("slot").applyInArrow(_merge, ANSWER)
     key = source.schema["doc_id"].dataType.simpleString()
     result = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
