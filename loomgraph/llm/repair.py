@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from loomgraph.llm.bpe import SPACED, alphabet, parted
 from loomgraph.llm.common import binaries, partitions, pieces, texts
 from loomgraph.session import new_path
 
-#: Words kept per Python worker; the memory is cleared when it is full and fills again.
+#: Words kept per Python worker; the memory is cleared when it is full and fills again. Longer words are not kept.
 REMEMBERED = 1_000_000
+LONGEST = 64
 SHARD = (
     "part int, seq int, first_rule int, rules binary, lengths binary, symbols binary, "
     "doc_ids array<long>, symbol_ends array<long>, id_ends array<long>"
@@ -44,11 +46,7 @@ class LibraryEncoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a letter a byte
 
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
+    def learn(self, new: set[str]) -> None:
         plain = [w for w in new if (w.isascii() or alphabet(w) != "all") and w.lstrip(" ").isalpha()]
         rest = new.difference(plain)
         for k in range(0, len(plain), 1 << 14):
@@ -71,18 +69,23 @@ class LibraryEncoder:
             self.known[w] = coded[a:b]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        lists, seen = [], set()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
+        lists, new = [], set()
         for text in batch:
             if any(s in text for s in self.special):
                 found = [w for part, mark in parted(text, self.special) for w in (SPACED(part) if mark is None else [mark])]
-                seen.update(w for w in found if isinstance(w, str))
             else:
                 found = SPACED(text)
-                seen.update(found)
+            new.update(filterfalse(self.known.__contains__, found))
             lists.append(found)
-        self.learn(seen)
-        self.known |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        return [b"".join(map(self.known.__getitem__, found)) for found in lists]
+        self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, found)) for found in lists]
+        for w in new:  # a memory of short words has a bound in bytes as well
+            if len(w) > LONGEST:
+                del self.known[w]
+        return out
 
 
 @cache
@@ -98,48 +101,51 @@ def _free(hits: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hits[free], what[free]
 
 
-def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 3, per_round: int = 5100, least: int = 16):
-    """(symbols, ends, rules, lengths) after ``rounds`` of replacing the most frequent pairs.
+def compress(symbols: np.ndarray, ends: np.ndarray, first_rule: int, share: float = 0.6, least: int = 4):
+    """(symbols, ends, rules, lengths) after replacing frequent pairs, round by round, until none inside a document occurs
+    ``least`` times or the 16-bit numbers are used up (at most 65536 - first_rule rules; rules and ids share them).
 
-    A round counts all pairs inside documents and turns up to ``per_round`` of those that occur
-    ``least`` times or more into rules; where two of them overlap the left one is replaced. Rules
-    and ids share the 16-bit numbers, so there are at most 65536 - first_rule rules.
+    A round turns the most frequent pairs into rules, as many as ``share`` of the numbers left; where two of them overlap
+    the left one is replaced. Pairs are counted through a table of hashed slots, which counts one pair a slot exactly; a
+    pair that met a full slot is met again under the next round's hash, and rounds end only when a count of all pairs
+    finds none.
     """
     rules: list[np.ndarray] = []
-    made = 0
+    made, turn = 0, 0
     seq = symbols.astype(np.uint32)
-    for _ in range(rounds):
-        room = min(per_round, 65536 - first_rule - made)
-        if room <= 0 or len(seq) < 2:
-            break
+    while (room := 65536 - first_rule - made) > 0 and len(seq) > 1:
         key = seq[:-1] << np.uint32(16) | seq[1:]
-        slot = (key * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)
-        slot[ends[(ends > 0) & (ends < len(seq))] - 1] = 1 << 20  # pairs across an end
-        # a table of hashed counts finds the pairs worth counting exactly: those of the busiest slots
-        table = np.bincount(slot, minlength=(1 << 20) + 1)
-        table[-1] = 0
-        busy = table >= max(least, int(np.partition(table, -room)[-room]))
-        at = np.flatnonzero(busy[slot])
-        pairs, times = np.unique(key[at], return_counts=True)
-        often = np.argsort(-times, kind="stable")[:room]
-        chosen = pairs[often[times[often] >= least]]
-        where = (chosen * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)
-        chosen = chosen[np.sort(np.unique(where, return_index=True)[1])]  # of two in a slot the more frequent one
-        if not len(chosen):
-            break
-        index = np.zeros((1 << 20) + 1, np.int32)
-        index[(chosen * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int64)] = np.arange(len(chosen))
-        place = index[slot[at]]
-        good = chosen[place] == key[at]
-        at, place = at[good], place[good]
-        taken, number = _free(at, place)
-        seq[taken] = (first_rule + made + number).astype(np.uint32)
+        across = ends[(ends > 0) & (ends < len(seq))] - 1
+        slot = (key * np.uint32(0x9E3779B1 + 2 * turn) >> np.uint32(12)).astype(np.int64)
+        slot[across] = 1 << 20
+        named = np.zeros((1 << 20) + 1, np.uint32)
+        named[slot] = key
+        good = named[slot] == key
+        times = np.bincount(slot[good], minlength=(1 << 20) + 1)
+        often = np.flatnonzero(times[:-1] >= least)
+        if not len(often):
+            if not (np.unique(np.delete(key, across), return_counts=True)[1] >= least).any():
+                break
+            turn += 1
+            continue
+        room = min(room, max(1024, int(share * room)))
+        if len(often) > room:
+            often = np.sort(often[np.argsort(-times[often], kind="stable")[:room]])
+        index = np.full((1 << 20) + 1, -1, np.int32)
+        index[often] = np.arange(len(often))
+        number = index[slot]
+        at = np.flatnonzero((number >= 0) & good)
+        taken, number = _free(at, number[at])
+        used = np.unique(number)  # a pair that only overlapped others makes no rule
+        seq[taken] = (first_rule + made + np.searchsorted(used, number)).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
         ends = ends - np.searchsorted(taken, ends - 1)
         seq = seq[keep]
+        chosen = named[often[used]]
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         made += len(chosen)
+        turn += 1
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     lengths = np.ones(first_rule + made, np.int64)
     for r, (a, b) in enumerate(table.tolist()):

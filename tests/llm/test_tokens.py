@@ -1,6 +1,7 @@
 """Encoders against the tokenizers library, and the grammar store against its input."""
 
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -86,3 +87,30 @@ def test_encoded(spark):
     for r in bpe.encoded(docs, WORD).collect():
         want = library.encode(text[r["doc_id"]], add_special_tokens=False).ids
         assert ids(r["ids"]) == want and r["n_tokens"] == len(want) and r["decoded"] == library.decode(want, skip_special_tokens=False)
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(3)
+    for ids, ends in [
+        (np.full(100_000, 7, "<u4"), [100_000]),
+        (rng.integers(0, 12, 4000).astype("<u4"), [0, 1, 1, 700, 2000, 4000]),
+        (np.tile(np.arange(50, dtype="<u4"), 30), [1500]),
+        (np.zeros(0, "<u4"), [0]),
+    ]:
+        symbols, cut, rules, lengths = repair.compress(ids, np.array(ends), 100)
+        shard = repair.Shard(100, rules.tobytes(), lengths.tobytes(), symbols.tobytes())
+        bounds = np.r_[0, cut]
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
+            assert np.array_equal(shard.ids(bounds[i], bounds[i + 1]), ids[a:b])
+        pairs = [tuple(symbols[x : x + 2]) for a, b in zip(bounds, cut) for x in range(a, b - 1)]
+        assert all(n < 4 or p[0] == p[1] for p, n in Counter(pairs).items())
+    assert len(repair.compress(np.full(100_000, 7, "<u4"), np.array([100_000]), 100)[0]) < 40
+
+
+def test_long_words_are_not_remembered():
+    coder = repair.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" * 5000 + " b", "plain words", "<|endoftext|> x", ""]
+    for _ in range(2):
+        for got, text in zip(coder.encode(texts), texts):
+            assert np.frombuffer(got, "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(len(w) for w in coder.known if isinstance(w, str)) <= repair.LONGEST
