@@ -33,7 +33,7 @@ END = b"\n"
 _MERGED = 1 << 22
 #: Tokens that a text is read for before the next lane takes over.
 _STRETCH = 256
-PACKED = "block int, docs binary"
+PACKED = "block int, ids array<{}>, train array<boolean>, sizes array<int>, texts binary"
 PACK = "slot int, block int, keys binary, counts binary"
 ANSWER = "slot int, block int, others binary"
 
@@ -97,26 +97,28 @@ def grams(flat: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarr
     return out
 
 
-def _opened(docs: list[bytes]) -> pa.Table:
-    return pa.concat_tables(pa.ipc.open_stream(d).read_all() for d in docs)
-
-
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each block, compressed together: texts travel in half the bytes."""
-    how = pa.ipc.IpcWriteOptions(compression="zstd")
+    """The rows of each block with their texts compressed together, in half the bytes."""
     for batch in batches:
-        for part in pieces(batch):
+        for part in pieces(batch, chars=1 << 24):
             of = part["block"].to_numpy()
             by = np.argsort(of, kind="stable")
             cut = np.flatnonzero(np.diff(of[by], prepend=-1))
-            rows = part.drop_columns(["block"]).take(pa.array(by))
-            found = []
-            for a, b in zip(cut, np.r_[cut[1:], len(by)]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=how) as out:
-                    out.write_batch(rows.slice(a, b - a))
-                found.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(of[by][cut], pa.int32()), pa.array(found, pa.binary())], ["block", "docs"])
+            ends = np.r_[cut, len(by)].astype(np.int32)
+            rows = part.take(pa.array(by))
+            text = rows["text"].cast(pa.binary())
+            lists = (pa.ListArray.from_arrays(ends, c) for c in (rows["doc_id"], rows["train"], pc.binary_length(text)))
+            packs = [zstandard.ZstdCompressor(level=6).compress(b"".join(text[a:b].to_pylist())) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(of[by][cut], pa.int32()), *lists, pa.array(packs, pa.binary())], ["block", "ids", "train", "sizes", "texts"])
+
+
+def _opened(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Ids, training flags and texts of the packs of a block."""
+    ids, train, sizes = (table[c].combine_chunks().flatten() for c in ("ids", "train", "sizes"))
+    data = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["texts"].to_pylist())
+    ends = np.r_[0, np.cumsum(sizes.to_numpy(), dtype=np.int64)]
+    text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(data))
+    return ids, train.to_numpy(zero_copy_only=False), text
 
 
 def _packs_of(keys: np.ndarray, counts: np.ndarray, block: int, bits: int) -> list[pa.Array]:
@@ -136,7 +138,7 @@ def _learned(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, chars=1 << 24):
+            for part in pieces(batch, chars=1 << 25):
                 flat, hashes, _ = tokens(part["text"])
                 n = np.bincount(flat, minlength=len(hashes))
                 by = np.argsort(hashes)
@@ -154,9 +156,9 @@ def _sums(table: pa.Table) -> pa.Table:
 
 @dataclass
 class _Block:
-    """Rows of a block, its n-grams by order and all their keys in order, with the block's own training counts."""
+    """Ids of the rows of a block, its n-grams by order and all their keys in order, with the block's own training counts."""
 
-    rows: pa.Table
+    ids: pa.Array
     flat: np.ndarray
     size: np.ndarray
     of: list[np.ndarray]  # for each n: the n-gram that ends at each token, or -1
@@ -166,10 +168,9 @@ class _Block:
 
 
 def _block(table: pa.Table, order: int) -> _Block:
-    rows = _opened(table["docs"].to_pylist())
-    flat, hashes, size = tokens(rows["text"].combine_chunks())
-    rows = rows.drop_columns(["text"])
-    learns = np.repeat(rows["train"].to_numpy(), size)
+    ids, train, text = _opened(table)
+    flat, hashes, size = tokens(text)
+    learns = np.repeat(train, size)
     of, found, counts = [], [], []
     for n, (key, ok) in enumerate(grams(hashes[flat], size, order)):
         if n:
@@ -187,7 +188,7 @@ def _block(table: pa.Table, order: int) -> _Block:
     own = np.zeros(len(keys), np.int64)
     for place, n in zip(at, counts):
         own[place] += n
-    return _Block(rows, flat, size, of, at, keys, own)
+    return _Block(ids, flat, size, of, at, keys, own)
 
 
 def _emit(order: int, bits: int):
@@ -363,7 +364,7 @@ def _score(order: int, prior: float, train_tokens: int, types: int):
         machine, known = automaton(block, [block.own[at] for at in block.at], prior, train_tokens + 0.5 * (types + 1))
         first = np.cumsum(block.size) - block.size
         return pa.table({
-            "doc_id": block.rows["doc_id"], "n_tokens": pa.array(block.size),
+            "doc_id": block.ids, "n_tokens": pa.array(block.size),
             "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64)[block.flat], first)),
             "train_tokens": pa.array(np.full(len(first), train_tokens, np.int64)),
             "base_score": pa.array(np.add.reduceat(machine.root_weight[block.flat], first)),
@@ -383,6 +384,7 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior:
     block holds one text at least). Keys of n-grams are 64-bit hashes.
     """
     source = texts(docs)
+    key = source.schema["doc_id"].dataType.simpleString()
     train = F.coalesce(fold(F.col("doc_id"), folds) != out, F.lit(True))
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     # a token, about six characters, stands for one n-gram of each order at most: this bounds the keys of a slot
@@ -392,10 +394,9 @@ def scored(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, prior:
     blocks = int(1 + chars // block_chars)
     dealt = (
         source.select("doc_id", "text", train.alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-        .mapInArrow(_packs, PACKED).repartition(blocks, "block")
+        .mapInArrow(_packs, PACKED.format(key)).repartition(blocks, "block")
     )
     answers = dealt.groupBy("block").applyInArrow(_emit(order, bits), PACK).groupBy("slot").applyInArrow(_merge, ANSWER)
-    key = source.schema["doc_id"].dataType.simpleString()
     result = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(order, prior, train_tokens, types), f"doc_id {key}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -113,11 +113,9 @@ def test_stretches_carry_the_state(order, stretch):
     rng = random.Random(order)
     texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 3, 4, 5, 30, 200, 11)]
     rows = [(i, t) for i, t in enumerate(texts)]
-    table = pa.table({"doc_id": [i for i, _ in rows], "text": texts, "train": [not held_out(i, 5, 1) for i, _ in rows]})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    block = language_model._block(pa.table({"docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())}), order)
+    learns = [not held_out(i, 5, 1) for i, _ in rows]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": texts, "train": learns, "block": [0] * len(rows)})
+    block = language_model._block(pa.Table.from_batches(language_model._packs(iter([batch]))), order)
     want = [r[-1] for r in plain_scores(rows, order, 3.0)]
     learned = Counter(w for i, t in rows if not held_out(i, 5, 1) for w in [*words(t), b"\n"])
     machine, known = language_model.automaton(
