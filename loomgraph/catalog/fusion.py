@@ -311,6 +311,16 @@ def _(t):
     return L.upsert_new(t.truth("A").withColumn("origin", F.lit("stored")), t.truth().withColumn("origin", F.lit("new")), ["context", "item"])
 
 
+@entry("l5_forced_refresh", """
+  SELECT context, item, CASE WHEN bool_or(incoming) AND (context + item) % 3 = 0 THEN 'fresh' WHEN bool_or(stored) THEN 'stored' ELSE 'new' END AS origin
+  FROM (SELECT context, item, true AS stored, false AS incoming FROM truth_extra_v UNION ALL SELECT context, item, false, true FROM truth_v) GROUP BY context, item""")
+def _(t):
+    refresh = (F.col("context") + F.col("item")) % 3 == 0
+    incoming = t.truth().withColumn("origin", F.when(refresh, F.lit("fresh")).otherwise(F.lit("new")))
+    stored = t.truth("A").withColumn("origin", F.lit("stored"))
+    return L.upsert_refreshed(stored, incoming, ["context", "item"], refresh)
+
+
 TERMS_L, TERMS_R, TREAT = ["the", "of the", "and"], ["de la", "that", "der"], ["with", "para"]
 PLAIN = "' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' '"
 

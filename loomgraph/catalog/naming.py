@@ -75,7 +75,7 @@ view("noisy_canon_v", f"SELECT name, norm, {canon_sql('norm')} AS canon FROM noi
 @entry("n5_synonym_canonicaliser", "SELECT name, norm, canon FROM noisy_canon_v")
 def _(t):
     n = noisy(t).select("name").distinct().withColumn("norm", T.normal_context_name(F.col("name")))
-    return n.withColumn("canon", N.canonical(F.col("norm"), SYNONYMS))
+    return n.join(N.canonical(n, "norm", N.synonym_table(n.sparkSession, SYNONYMS)), "norm", "left").select("name", "norm", "canon")
 
 
 view("mapped_v", f"SELECT m_norm, min(id) AS id FROM (SELECT {NORM.format('name')} AS m_norm, 'M' || context AS id FROM contexts_v) GROUP BY 1")

@@ -72,6 +72,26 @@ def upsert_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> D
     return stored.unionByName(incoming.join(stored.select(*keys), list(keys), "left_anti"))
 
 
+def newest(rows: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
+    """Merge on read: of every key the row of the highest version (of equal ones the largest row), without the version."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("r"))
+    return best.select(*keys, *(F.col(f"r.{c}") for c in rest))
+
+
+def upsert_refreshed(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], refresh: Column) -> DataFrame:
+    """L5 with forced refresh: a stored row stays unless an incoming row of its key meets ``refresh``; new keys are added.
+
+    One aggregate over both tables with rows as versions (known and not forced < stored < forced), so no join is needed and
+    repeated keys are combined before the shuffle. A null ``refresh`` counts as false.
+    """
+    version = F.when(F.coalesce(refresh, F.lit(False)), 1).otherwise(-1)
+    columns = stored.columns
+    return newest(
+        stored.withColumn("version", F.lit(0)).unionByName(incoming.withColumn("version", version).select(*columns, "version")), keys
+    ).select(*columns)
+
+
 def cooccurrence(documents: DataFrame, left: DataFrame, right: DataFrame, treatment_words: Sequence[str]) -> DataFrame:
     """Documents per (left, right) term pair: both terms; plus a treatment word; recent; review.
 

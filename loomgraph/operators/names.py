@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.session import cut_lineage
 
 
 def _grams(df: DataFrame, column: str, q: int, keep: Sequence[str], short: bool) -> DataFrame:
@@ -17,23 +18,31 @@ def _grams(df: DataFrame, column: str, q: int, keep: Sequence[str], short: bool)
     return df.where(length >= (1 if short else q)).select(*keep, column, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
+def anchored(texts: DataFrame, text: str, needles: DataFrame, needle: str, q: int = 3, short: bool = False) -> DataFrame:
+    """(text, needle) of distinct strings that share the needle's anchor: its gram that fewest texts (then fewest needles) hold."""
+    n_grams = _grams(needles, needle, q, [], short).where(F.length("gram") == F.least(F.length(needle), F.lit(q)))
+    counts = n_grams.groupBy("gram").agg(F.count("*").alias("__n"))
+    t_grams = _grams(texts, text, q, [], short)
+    held = t_grams.join(counts, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("__t"))
+    # a needle with a gram that no text holds is in none: it needs no anchor
+    anchors = (
+        n_grams.join(counts, "gram").join(held, "gram", "left").groupBy(needle)
+        .agg(F.min_by("gram", F.struct("__t", "__n", "gram")).alias("gram"), F.count_if(F.col("__t").isNull()).alias("__none"))
+        .where("__none = 0").select(needle, "gram")
+    )
+    return t_grams.join(anchors, "gram").select(text, needle)
+
+
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, q: int = 3, short: bool = False) -> DataFrame:
     """All (text, needle) pairs where the text contains the needle, exact for needles of q characters
     or more (``short``: for any length).
 
-    Every text that holds a needle also holds each of its grams, so each needle is filed under
-    its rarest gram and the texts meet it by an equi join on that gram; ``contains`` confirms.
-    Both inputs are reduced to distinct strings first.
+    Every text that holds a needle also holds each of its grams, so each needle is filed under its
+    anchor gram and the texts meet it by an equi join on that gram; ``contains`` confirms. Both
+    inputs are reduced to distinct strings first.
     """
-    texts = texts.select(text).distinct()
-    needles = needles.select(needle).distinct()
-    size = F.least(F.length(needle), F.lit(q))
-    n_grams = _grams(needles, needle, q, [], short).where(F.length("gram") == size)
-    counts = n_grams.groupBy("gram").agg(F.count("*").alias("__n"))
-    anchors = n_grams.join(counts, "gram").groupBy(needle).agg(F.min_by("gram", F.struct("__n", "gram")).alias("gram"))
-    return (
-        _grams(texts, text, q, [], short).join(anchors, "gram").where(F.contains(text, needle)).select(text, needle)
-    )
+    met = anchored(texts.select(text).distinct(), text, needles.select(needle).distinct(), needle, q, short)
+    return met.where(F.contains(text, needle))
 
 
 def either_contains(a: DataFrame, x: str, b: DataFrame, y: str, q: int, short: bool = False) -> DataFrame:
@@ -41,24 +50,42 @@ def either_contains(a: DataFrame, x: str, b: DataFrame, y: str, q: int, short: b
     return contains_join(a, x, b, y, q, short).unionByName(contains_join(b, y, a, x, q, short)).distinct()
 
 
-def canonical(name: Column, synonyms: Mapping[str, str], min_length: int = 6) -> Column:
-    """Exact synonym; else the first synonym (in table order) inside the name or around it."""
-    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(c).alias("c")) for s, c in synonyms.items()])
-    exact = F.filter(table, lambda e: e.s == name)
-    loose = F.filter(table, lambda e: (F.length(e.s) >= min_length) & (
-        F.contains(name, e.s) | ((F.length(name) >= min_length) & F.contains(e.s, name))))
-    return F.coalesce(F.get(exact, 0).c, F.get(loose, 0).c, name)
+def synonym_table(spark: SparkSession, synonyms: Mapping[str, str]) -> DataFrame:
+    """(place, synonym, canonical) in the order of the mapping."""
+    return spark.createDataFrame([(i, s, c) for i, (s, c) in enumerate(synonyms.items())], "place long, synonym string, canonical string")
+
+
+def canonical(names: DataFrame, column: str, synonyms: DataFrame, min_length: int = 6) -> DataFrame:
+    """(column, canon) for every distinct name: an exact synonym's canonical form; else that of the first synonym (by
+    place) inside the name or around it, both of ``min_length`` characters or more; else the name.
+
+    ``synonyms`` (place, synonym, canonical) may be of any size: names meet it by equi joins, first on the whole name, then
+    on the anchor grams of ``contains_join``, and the table's order travels as ``place``. A null name has a null form.
+    """
+    table = synonyms.where("synonym is not null").groupBy("synonym").agg(F.min_by("canonical", "place").alias("c"), F.min("place").alias("place"))
+    todo = names.select(column).distinct()
+    first = todo.join(table.select(F.col("synonym").alias(column), F.col("c").alias("__exact")), column, "left")
+    rest = first.where(F.col("__exact").isNull() & (F.length(column) >= min_length)).select(column)
+    long = table.where(F.length("synonym") >= min_length).select("synonym", "c", "place")
+    loose = (
+        either_contains(rest, column, long.select("synonym"), "synonym", min_length).join(long, "synonym")
+        .groupBy(column).agg(F.min_by("c", "place").alias("__loose"))
+    )
+    return first.join(loose, column, "left").select(column, F.coalesce("__exact", "__loose", column).alias("canon"))
 
 
-def cascade_match(names: DataFrame, mapped: DataFrame, synonyms: Mapping[str, str], min_name: int = 21, min_mapped: int = 11) -> DataFrame:
+def cascade_match(names: DataFrame, mapped: DataFrame, synonyms: Mapping[str, str] | DataFrame, min_name: int = 21, min_mapped: int = 11) -> DataFrame:
     """Exact normalised name, then canonical name, then a long substring; ties to the lowest id or name.
 
-    ``names`` (name) and ``mapped`` (name, id) -> (name, id, step).
+    ``names`` (name) and ``mapped`` (name, id) -> (name, id, step); synonyms as a mapping or as the table of ``canonical``.
     """
     norm = T.normal_context_name(F.col("name"))
-    todo = names.select("name").distinct().withColumn("norm", norm).withColumn("canon", canonical(F.col("norm"), synonyms))
+    table = synonyms if isinstance(synonyms, DataFrame) else synonym_table(names.sparkSession, synonyms)
+    todo = names.select("name").distinct().withColumn("norm", norm)
     known = mapped.select(norm.alias("m_norm"), "id").groupBy("m_norm").agg(F.min("id").alias("id"))
-    by_canon = known.withColumn("m_canon", canonical(F.col("m_norm"), synonyms)).groupBy("m_canon").agg(F.min("id").alias("id2"))
+    forms = cut_lineage(canonical(todo.select("norm").unionByName(known.select(F.col("m_norm").alias("norm"))), "norm", table))  # read twice
+    todo = todo.join(forms, "norm", "left")
+    by_canon = known.join(forms.select(F.col("norm").alias("m_norm"), F.col("canon").alias("m_canon")), "m_norm").groupBy("m_canon").agg(F.min("id").alias("id2"))
     first = todo.join(known.withColumnRenamed("id", "id1"), F.col("norm") == F.col("m_norm"), "left").join(
         by_canon, F.col("canon") == F.col("m_canon"), "left"
     )
