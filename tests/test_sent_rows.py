@@ -56,3 +56,17 @@ def test_best_known_match_sends_items_and_not_pairs(spark):
 def test_best_known_match_with_slices_and_large_sets(spark):
     candidates, truth, features, want = _known_case(spark)
     assert _best(S.best_known_match(candidates, truth, features, rows=5)) == want
+
+
+def test_fused_lists_travel_once(spark):
+    from loomgraph.operators import fuse as FU
+
+    rows = [(m, c, (c * 7 + 3 * r + k) % 50, float(31 - r), r) for k, m in enumerate(("a", "b", "c")) for c in range(40) for r in range(1, 31)]
+    preds = spark.createDataFrame(rows, "model string, context bigint, item bigint, score double, rank int")
+    got, sent = rows_sent(spark, lambda: FU.fused_scores(preds, 3).select("context", "item", "mean", "borda", "worst_rank").collect())
+    assert sent <= len(rows)  # the lists, their sizes and the partial aggregates before
+    want = {}
+    for m, c, i, s, r in rows:
+        want.setdefault((c, i), []).append((s, 31 - r, r))
+    assert {(r["context"], r["item"]): (r["mean"], r["borda"], r["worst_rank"]) for r in got} == {
+        key: (round(sum(x[0] for x in v) / len(v), 9), round(sum(x[1] for x in v) / len(v), 9), max(x[2] for x in v)) for key, v in want.items()}
