@@ -70,3 +70,20 @@ def test_fused_lists_travel_once(spark):
         want.setdefault((c, i), []).append((s, 31 - r, r))
     assert {(r["context"], r["item"]): (r["mean"], r["borda"], r["worst_rank"]) for r in got} == {
         key: (round(sum(x[0] for x in v) / len(v), 9), round(sum(x[1] for x in v) / len(v), 9), max(x[2] for x in v)) for key, v in want.items()}
+
+
+def test_only_neighbours_of_the_ends_look_up_their_weight(spark):
+    from loomgraph.operators import graph as G
+
+    rows = [(f"Item::{i}", "targets", f"Feature::{(i * 13 + j) % 500}") for i in range(400) for j in range(20)]
+    edges = spark.createDataFrame(rows, "source string, relation string, target string")
+    pairs = spark.createDataFrame([("Item::1", "Item::2"), ("Item::1", "Item::3")], "a string, b string")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, sent = rows_sent(spark, lambda: G.pair_topology(pairs, edges, "a", "b").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert {(r["b"], r["n_common"]) for r in got} == {("Item::2", 7), ("Item::3", 0)}
+    # all 16,000 rows meet when they become distinct and when the ends pick theirs, the degrees are partial sums of them
+    assert sent < 42_000
