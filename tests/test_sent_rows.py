@@ -87,3 +87,33 @@ def test_only_neighbours_of_the_ends_look_up_their_weight(spark):
     assert {(r["b"], r["n_common"]) for r in got} == {("Item::2", 7), ("Item::3", 0)}
     # all 16,000 rows meet when they become distinct and when the ends pick theirs, the degrees are partial sums of them
     assert sent < 42_000
+
+
+def test_walkers_meet_one_row_a_node(spark):
+    from loomgraph.operators import graph as G
+
+    rows = [(f"Item::{i}", "targets", f"Feature::{(i * 13 + j) % 50}") for i in range(200) for j in range(30)] + [("Item::1", "self", "Item::1"), ("Feature::13", "back", "Item::1")]
+    edges = spark.createDataFrame(rows, "source string, relation string, target string")
+    near = {}
+    for a, _, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, sent = rows_sent(spark, lambda: G.random_walks(edges, 1, 6, cut_every=3).collect())
+        hubs = G.random_walks(edges, 1, 6, cut_every=3, rows=40).collect()  # the features are hubs, the items are not
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert sorted(got) == sorted(hubs)
+    trail = {(r["start"], r["step"]): r["node"] for r in got}
+    assert len(got) == len(trail) == 250 * 7
+    import hashlib
+
+    for (start, step), node in trail.items():
+        if step:
+            at = sorted(near[trail[start, step - 1]])
+            assert node == at[int(hashlib.md5(f"42:{start}:1:{step}".encode()).hexdigest()[:8], 16) % len(at)]
+    # the 6,000 links meet the names of their ends and each other, both directions are packed once, then nodes meet walkers;
+    # before, the 12,000 neighbours were sent once a step
+    assert sent < 50_000
