@@ -117,3 +117,23 @@ def test_walkers_meet_one_row_a_node(spark):
     # the 6,000 links meet the names of their ends and each other, both directions are packed once, then nodes meet walkers;
     # before, the 12,000 neighbours were sent once a step
     assert sent < 50_000
+
+
+def test_only_the_ends_of_pairs_send_their_members(spark):
+    from loomgraph.operators.pairs import common_members
+
+    left = spark.createDataFrame([(a, (a * 7 + j) % 90) for a in range(400) for j in range(15)], "a bigint, mid bigint")
+    right = spark.createDataFrame([(b, (b * 11 + j) % 90) for b in range(400) for j in range(15)], "b bigint, mid bigint")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (3, 500), (2, 2), (2, 2)], "a bigint, b bigint")
+    hold = lambda k, e: {(e * k + j) % 90 for j in range(15)}
+    want = {(a, b): hold(7, a) & hold(11, b) for a, b in ((1, 1), (1, 2), (2, 2))}
+    got, sent = rows_sent(spark, lambda: S.pair_sizes(pairs, left, right, "a", "b", "mid").collect())
+    assert sorted((r["a"], r["b"], r["size_a"], r["size_b"], r["shared"]) for r in got) == sorted(
+        [(a, b, 15, 15, len(want[a, b])) for a, b in ((1, 1), (1, 2), (2, 2), (2, 2))] + [(3, 500, 15, 0, 0)])
+    wide = S.pair_sizes(pairs.unionByName(spark.createDataFrame([(None, 2)], "a bigint, b bigint")).withColumn("x", F.lit("x")), left, right, "a", "b", "mid")
+    assert wide.columns == ["a", "b", "x", "size_a", "size_b", "shared"]
+    assert sorted((r["a"] or 0, r["b"], r["size_a"], r["size_b"], r["shared"]) for r in wide.collect()) == sorted(
+        [(0, 2, 0, 15, 0)] + [(r["a"], r["b"], r["size_a"], r["size_b"], r["shared"]) for r in got])
+    met, more = rows_sent(spark, lambda: common_members(pairs, left, right, "a", "b", "mid").collect())
+    assert sorted(map(tuple, met)) == sorted((a, b, m) for (a, b), ms in want.items() for m in ms)
+    assert sent < 400 and more < 400  # sets of all 800 ends before
