@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import graph as G
+from loomgraph.operators import nearest
 from loomgraph.operators import similar as S
 
 
@@ -137,3 +139,19 @@ def test_only_the_ends_of_pairs_send_their_members(spark):
     met, more = rows_sent(spark, lambda: common_members(pairs, left, right, "a", "b", "mid").collect())
     assert sorted(map(tuple, met)) == sorted((a, b, m) for (a, b), ms in want.items() for m in ms)
     assert sent < 400 and more < 400  # sets of all 800 ends before
+
+
+def test_members_travel_once_with_their_set(spark):
+    # 40 sets of 31 members at most: the distinct before the packing was a shuffle of its own
+    lines = spark.range(3000).selectExpr("id % 40 as id", "(id div 40) % 25 + id % 7 as feature").repartition(4)
+    packed, sent = rows_sent(spark, lambda: nearest._packed_sets(lines.distinct(), []).collect())
+    want = {r["id"]: sorted(r["f"]) for r in lines.groupBy("id").agg(F.collect_set("feature").alias("f")).collect()}
+    assert {r["id"]: r["features"] for r in packed} == want
+    assert sent <= 3000 + 4 * 40 + 40
+
+
+def test_coverage_counts_repeated_rows_once(spark):
+    lists = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, 9), (2, 9)], "context int, feature int")
+    items = spark.createDataFrame([(7, 5), (7, 6), (7, 6), (8, 9), (8, 5), (8, 1)], "item int, feature int")
+    got = sorted(tuple(r) for r in G.coverage_ranking(lists, items).collect())
+    assert got == [(1, 7, 2, 0.666667, 1.0, 1), (1, 8, 2, 0.666667, 0.666667, 2), (2, 8, 1, 1.0, 0.333333, 1)]
