@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomgraph.catalog.base import entry, view
-from loomgraph.catalog.similarity import loo_top, near, top_items, votes
+from loomgraph.catalog.similarity import loo_top, near, near_with_and_without, top_items, votes
 from loomgraph.catalog.tiering import tiered
 from loomgraph.operators import aggregate as A
 from loomgraph.operators import ranking as W
@@ -182,9 +182,11 @@ def _(t):
       unnest([avg(mean_similarity) FILTER (hit = 0), avg(max_items) FILTER (hit = 0), avg(n_features) FILTER (hit = 0)]) AS n FROM d)""")
 def _(t):
     n = cut_lineage(near(t, exclude_self=True))
-    stats = A.neighbour_statistics(n, t.truth(), S.vote(n, t.truth()))
+    stats = A.neighbour_statistics(n, t.truth())
     f = t.context_features().groupBy("context").agg(F.count("*").alias("n_features"))
-    h = hits(t).groupBy("context").agg(F.max("hit").alias("hit"))
+    top = W.top_n(S.vote(n, t.truth()), ["context"], "score", "item", 30)
+    known = t.truth().withColumn("known", F.lit(1))
+    h = top.join(known, ["context", "item"], "left").groupBy("context").agg(F.coalesce(F.max("known"), F.lit(0)).alias("hit"))
     return A.group_profile(stats.join(f, "context", "left").join(h, "context"), F.col("hit") == 1, ["mean_similarity", "max_items", "n_features"])
 
 
@@ -278,4 +280,5 @@ def _(t):
   SELECT coalesce(a.context, b.context) AS context, count(*) FILTER (a.item IS NULL) AS promoted, count(*) FILTER (b.item IS NULL) AS demoted, count(*) FILTER (a.item IS NOT NULL AND b.item IS NOT NULL) AS kept
   FROM (SELECT context, item FROM top_v WHERE rank <= 20) a FULL JOIN (SELECT context, item FROM loo_top_v WHERE rank <= 20) b ON a.context = b.context AND a.item = b.item GROUP BY 1""")
 def _(t):
-    return W.membership_changes(top_items(t).where("rank <= 20"), loo_top(t).where("rank <= 20"), ["context"], "item")
+    old, new = (W.top_n(S.vote(n, t.truth()), ["context"], "score", "item", 20) for n in near_with_and_without(t))
+    return W.membership_changes(old, new, ["context"], "item")

@@ -13,8 +13,8 @@ def frequency(truth: DataFrame) -> DataFrame:
     return truth.groupBy("item").agg(F.count("*").alias("train_frequency"))
 
 
-def neighbour_statistics(neighbours: DataFrame, truth: DataFrame, votes: DataFrame) -> DataFrame:
-    """A2: similarity statistics of the k neighbours and the size of the pool they open."""
+def neighbour_statistics(neighbours: DataFrame, truth: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """A2: similarity statistics of the k neighbours and, where ``votes`` are given, the size of the pool they open."""
     sizes = truth.groupBy(F.col("context").alias("neighbour")).agg(F.count("*").alias("n_items"))
     s = F.col("similarity")
     stats = neighbours.join(sizes, "neighbour", "left").groupBy("context").agg(
@@ -22,6 +22,8 @@ def neighbour_statistics(neighbours: DataFrame, truth: DataFrame, votes: DataFra
         F.round(F.stddev_pop(s), 6).alias("std_similarity"), F.count("n_items").alias("n_with_items"),
         F.round(F.avg("n_items"), 6).alias("mean_items"), F.max("n_items").alias("max_items"),
     )
+    if votes is None:
+        return stats
     pool = votes.groupBy("context").agg(F.count("*").alias("pool_size"))
     return stats.join(pool, "context", "left").withColumn("pool_size", F.coalesce("pool_size", F.lit(0)))
 

@@ -155,3 +155,30 @@ def test_coverage_counts_repeated_rows_once(spark):
     items = spark.createDataFrame([(7, 5), (7, 6), (7, 6), (8, 9), (8, 5), (8, 1)], "item int, feature int")
     got = sorted(tuple(r) for r in G.coverage_ranking(lists, items).collect())
     assert got == [(1, 7, 2, 0.666667, 1.0, 1), (1, 8, 2, 0.666667, 0.666667, 2), (2, 8, 1, 1.0, 0.333333, 1)]
+
+
+def test_rows_of_a_vote_travel_once(spark):
+    # one shuffle by context; it was one by (context, item) and a second one for the ranking
+    near = spark.range(600).selectExpr("id div 20 as context", "id % 20 as neighbour", "(id % 7) / 10.0D as similarity").repartition(4)
+    truth = spark.range(400).selectExpr("id % 20 as context", "id as item").repartition(4)
+    run = lambda: S.top_n(S.vote(F.broadcast(near), truth), ["context"], "score", "item", 30).collect()
+    got, sent = rows_sent(spark, run)
+    assert len(got) == 30 * 30 and sent <= 600 + 400 + 12000 + 100
+
+
+def test_one_comparison_gives_the_neighbours_with_and_without_the_context(spark, monkeypatch):
+    from __spark_entry__ import queries as registered
+
+    queries = registered()
+    rng = random.Random(5)
+    vectors = spark.createDataFrame([(i, [float(rng.randint(0, 2)) for _ in range(3)]) for i in range(60)], "context int, vec array<double>")
+    truth = spark.createDataFrame([(i, i) for i in range(0, 60, 2)], "context int, item int")
+    both = S.nearest_contexts(vectors, truth, 5)
+    alone = sorted(map(tuple, S.nearest_contexts(vectors, truth, 4, exclude_self=True).collect()))
+    assert sorted(map(tuple, S.without_self(both, 4).select("context", "neighbour", "similarity", "place").collect())) == alone
+    calls = []
+    compared = S.nearest_contexts
+    monkeypatch.setattr(S, "nearest_contexts", lambda *a, **k: calls.append(1) or compared(*a, **k))
+    queries["u4_membership_changes"](spark, "/root/testdata/sf0.001")
+    queries["a17_group_profile"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 2  # one each
