@@ -1,10 +1,13 @@
 """What operators write and lay out: only what can still matter for the result."""
 
+import collections
 import itertools
+import random
 
 import pytest
 
 from loomgraph.operators import paths as P
+from loomgraph.operators import similar as S
 
 
 @pytest.fixture
@@ -36,3 +39,37 @@ def test_simple_paths_write_no_first_hop_that_misses_the_target(spark, written):
     assert [(r["length"], r["nodes"], r["relations"]) for r in sorted(got, key=lambda r: r["place"])] == want[:3]
     assert {(r["source"], r["target"], r["n_paths"]) for r in got} == {("s", "t", len(want))}
     assert max(n for columns, n in written if "nodes" in columns) < 60  # a row for each of the 61 edges of s before
+
+
+def test_class_transfer_lays_out_few_items_of_a_class(spark, monkeypatch):
+    rng = random.Random(3)
+    classes = [(i, f"c{i % 4}") for i in range(400)] + [(i, f"c{i % 3}") for i in range(0, 60, 5)] + [(7, "c3"), (8, None), (None, "c1"), (900, None)]
+    near = [(c, 100 + (c + k) % 9, round(rng.choice([0.5, 0.25, 0.125, -0.5]), 6)) for c in range(12) for k in range(4)]
+    truth = [(100 + d, i) for d in range(9) for i in rng.sample(range(400), 6)] + [(100, i) for i in range(3, 200, 4)]
+    want = []
+    for c in range(12):
+        ref = [(i, s) for x, d, s in near if x == c for e, i in truth if e == d]
+        lent = collections.Counter()
+        for i, s in ref:
+            for j, k in classes:
+                if i == j and k:
+                    lent[k] += s
+        got = {}
+        for j, k in classes:
+            if k in lent:
+                got[j] = got.get(j, 0) + round(lent[k], 6)
+        left = sorted(((-round(s, 6), -1 if j is None else j) for j, s in got.items() if j not in {i for i, _ in ref}))[:5]
+        want += [(c, None if j < 0 else j, -s, r) for r, (s, j) in enumerate(left, 1)]
+    laid = []
+
+    def top(df, *a, real=S.top_n, **kw):
+        laid.append(df.count())
+        return real(df, *a, **kw)
+
+    monkeypatch.setattr(S, "top_n", top)
+    frame = spark.createDataFrame
+    out = S.class_transfer(
+        frame(near, "context bigint, neighbour bigint, similarity double"), frame(truth, "context bigint, item bigint"), frame(classes, "item bigint, cls string"), 5, chunk=8)
+    key = lambda r: (r[0], r[3])
+    assert sorted([(r["context"], r["item"], r["score"], r["rank"]) for r in out.collect()], key=key) == sorted(want, key=key)
+    assert laid[0] < 12 * 100  # nearly all of 12 contexts x 400 items before
