@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.hashing import HASH_SPACE, seeded_hash
 from loomgraph.operators.aggregate import precision_by
 from loomgraph.operators.ranking import average_rank, global_position, hash_position
+from loomgraph.session import cut_lineage
 
 
 def recall(hits: DataFrame, truth: DataFrame, contexts: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -265,9 +266,14 @@ def with_sign_p(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int = 1000, seed: int = 42, low: float = 0.025, high: float = 0.975, digits: int = 6) -> DataFrame:
-    """T5: percentile interval of the mean; draw j of a replicate takes the row at a hashed position."""
-    placed = hash_position(df.select(key, value).withColumn("h", seeded_hash(seed, F.col(key))), "h", key)
-    draws = placed.select(F.col("position").alias("j"), F.col("group_size").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    """T5: percentile interval of the mean; draw j of a replicate takes the row at a hashed position.
+
+    The rows are numbered and written once, however much work ``df`` is, and the draws are dealt out by position.
+    """
+    rows = cut_lineage(df.select(key, value).withColumn("h", seeded_hash(seed, F.col(key))))
+    placed = cut_lineage(hash_position(rows, "h", key).select("position", "group_size", value))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = placed.select(F.col("position").alias("j"), F.col("group_size").alias("n")).repartition(tasks, "j").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     pick = (F.pmod(seeded_hash(seed, F.col("rep"), F.col("j")), F.col("n")) + 1).cast("bigint")
     means = (
         draws.select("rep", pick.alias("position")).join(placed.select("position", value), "position")

@@ -1,15 +1,21 @@
 """What operators write and lay out: only what can still matter for the result."""
 
 import collections
+import hashlib
 import itertools
 import random
 
 import pytest
 
+from loomgraph.operators import evaluate as E
 from loomgraph.operators import paths as P
 from loomgraph.operators import similar as S
 
 
+def _h(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
 @pytest.fixture
 def written(monkeypatch):
     """(columns, rows) of every table that the path searches write."""
@@ -73,3 +79,20 @@ def test_class_transfer_lays_out_few_items_of_a_class(spark, monkeypatch):
     key = lambda r: (r[0], r[3])
     assert sorted([(r["context"], r["item"], r["score"], r["rank"]) for r in out.collect()], key=key) == sorted(want, key=key)
     assert laid[0] < 12 * 100  # nearly all of 12 contexts x 400 items before
+
+
+def test_bootstrap_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def slow(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(k, float(k % 5)) for k in range(300)], "k bigint, v double")
+    got = E.bootstrap_mean(df.mapInPandas(slow, df.schema), "k", "v", reps=40).collect()[0]
+    order = sorted(range(300), key=lambda k: (_h(42, k), k))
+    means = [sum(order[_h(42, r, j) % 300] % 5 for j in range(1, 301)) / 300 for r in range(1, 41)]
+    assert (got["reps"], got["mean"]) == (40, round(sum(means) / 40, 6))
+    assert round(min(means), 6) <= got["low"] <= got["high"] <= round(max(means), 6)
+    assert seen.value == 300  # four times before
