@@ -96,3 +96,26 @@ def test_bootstrap_computes_its_rows_once(spark):
     assert (got["reps"], got["mean"]) == (40, round(sum(means) / 40, 6))
     assert round(min(means), 6) <= got["low"] <= got["high"] <= round(max(means), 6)
     assert seen.value == 300  # four times before
+
+
+def test_last_layers_of_a_search_are_not_laid_out(spark, written):
+    rng = random.Random(5)
+    links = [(f"s{i}", f"h{rng.randrange(4)}") for i in range(12)] + [(f"t{i}", f"k{rng.randrange(4)}") for i in range(12)]
+    links += [(f"h{j}", f"m{m}") for j in range(4) for m in range(300) if m % 5 != j] + [(f"k{j}", f"m{m}") for j in range(4) for m in range(200, 500) if m % 3 != j]
+    links += [("s0", "h9"), ("h9", "k0"), ("t0", "h9"), ("lone", "x1"), ("x1", "x2")]
+    near = collections.defaultdict(set)
+    for x, y in links:
+        near[x].add(y)
+        near[y].add(x)
+    wanted = [(f"s{i}", f"t{j}") for i in range(12) for j in range(12)] + [("lone", "t1"), ("s1", "lone"), ("s2", "nobody")]
+
+    def least(s, t):
+        layer = [(s,)]
+        for _ in range(5):
+            if met := [p for p in layer if p[-1] == t]:
+                return list(min(met))
+            layer = [(*p, y) for p in layer if len(p) < 5 for y in near[p[-1]] if y not in p]
+
+    got = P.shortest_paths(spark.createDataFrame(wanted, "source string, target string"), spark.createDataFrame(links, "a string, b string"), 4).collect()
+    assert {(r["source"], r["target"]): r["path"] for r in got} == {(s, t): least(s, t) for s, t in wanted}
+    assert max(n for columns, n in written if "path" in columns) < 12 * 100  # 12 sources x about 240 nodes before
