@@ -119,3 +119,28 @@ def test_last_layers_of_a_search_are_not_laid_out(spark, written):
     got = P.shortest_paths(spark.createDataFrame(wanted, "source string, target string"), spark.createDataFrame(links, "a string, b string"), 4).collect()
     assert {(r["source"], r["target"]): r["path"] for r in got} == {(s, t): least(s, t) for s, t in wanted}
     assert max(n for columns, n in written if "path" in columns) < 12 * 100  # 12 sources x about 240 nodes before
+
+
+def test_set_distances_ask_only_whether_ends_meet(spark, monkeypatch):
+    plans = []
+
+    def cut(df, real=P.cut_lineage):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(P, "cut_lineage", cut)
+    rng = random.Random(11)
+    links = [(rng.randrange(50), rng.randrange(50)) for _ in range(60)]
+    starts = [(k, n) for k in range(4) for n in rng.sample(range(50), 3)]
+    wanted = [(k, n) for k in range(5) for n in range(52)]
+    frame = spark.createDataFrame
+    got = {(r["k"], r["node"]): r["distance"] for r in P.set_distances(frame(wanted * 2, "k long, node long"), frame(starts, "k long, feature long"), frame(links, "a long, b long"), "k", 3).collect()}
+    want = {}
+    for k in range(4):
+        layer = {n for j, n in starts if j == k}
+        for d in range(4):
+            for n in layer:
+                want.setdefault((k, n), d)
+            layer |= {y for a, b in links for x, y in ((a, b), (b, a)) if x in layer}
+    assert got == want
+    assert not [p for p in plans if "array_intersect" in p or "explode" in p]  # each common member was a row before
